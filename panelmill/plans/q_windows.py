@@ -370,7 +370,7 @@ def cross_asset(t):
 
 @query(
     "e33_difference",
-    """SELECT sector, dt, SNAP6(close - lag(close) OVER w) AS d1, SNAP6(close - 2 * lag(close) OVER w + lag(close, 2) OVER w) AS d2
+    """SELECT sector, dt, SNAP6(close - lag(close) OVER w) AS d1, SNAP6((close - lag(close) OVER w) - (lag(close) OVER w - lag(close, 2) OVER w)) AS d2
     FROM sector_day_v WINDOW w AS (PARTITION BY sector ORDER BY dt)""",
 )
 def difference(t):

@@ -190,10 +190,41 @@ h AS (SELECT seq, sum(polarity) AS s FROM w JOIN lexicon_v USING (word) GROUP BY
 SELECT a.*, CAST(coalesce(h.s, 0) AS BIGINT) AS lex_score,
        CASE WHEN h.s > 0 THEN 'positive' WHEN h.s < 0 THEN 'negative' ELSE 'neutral' END AS lex_label
 FROM articles_v a LEFT JOIN h ON h.seq = a.seq""",
-    "sector_day_v": "SELECT sector, dt, avg(close) AS close FROM bars_v GROUP BY sector, dt",
+    "sector_day_v": "SELECT sector, dt, SNAP9(avg(close)) AS close FROM bars_v GROUP BY sector, dt",
     "sector_news_v": """
 WITH n AS (SELECT ['AFRICA','AMERICA','ASIA','EUROPE','MIDDLE EAST'][seq % 5 + 1] AS sector, dt, avg(lex_score) AS score FROM lex_v GROUP BY 1, 2)
 SELECT n.sector, n.dt, n.score, s.close FROM n JOIN sector_day_v s ON s.sector = n.sector AND s.dt = n.dt""",
+    "auc_v": """
+WITH t AS (SELECT * FROM score_v WHERE split = 'test'),
+r AS (SELECT ticker, y, rank() OVER (PARTITION BY ticker ORDER BY p_endo) + (count(*) OVER (PARTITION BY ticker, p_endo) - 1) / 2.0::DOUBLE AS re,
+             rank() OVER (PARTITION BY ticker ORDER BY p_exo) + (count(*) OVER (PARTITION BY ticker, p_exo) - 1) / 2.0::DOUBLE AS rx FROM t),
+c AS (SELECT ticker, sum(CASE WHEN y = 1 THEN re END) AS se, sum(CASE WHEN y = 1 THEN rx END) AS sx, CAST(sum(y) AS DOUBLE) AS p1, CAST(count(*) - sum(y) AS DOUBLE) AS p0 FROM r GROUP BY ticker)
+SELECT ticker, (se - p1 * (p1 + 1) / 2) / nullif(p1 * p0, 0) AS endo_auc, (sx - p1 * (p1 + 1) / 2) / nullif(p1 * p0, 0) AS exo_auc FROM c""",
+    "dm_v": """
+WITH d AS (SELECT ticker, (y - p_endo) * (y - p_endo) - (y - p_exo) * (y - p_exo) AS d FROM score_v WHERE split = 'test'),
+a AS (SELECT ticker, count(*) AS n, avg(d) AS db, var_samp(d) / count(*) AS v FROM d GROUP BY ticker)
+SELECT ticker, n AS n_test, CASE WHEN n >= 10 AND v > 0 THEN db / sqrt(v) END AS dm FROM a""",
+    "report_v": """
+WITH th AS (SELECT ticker, SNAP9(quantile_cont(p_endo, 0.4)) AS te, SNAP9(quantile_cont(p_exo, 0.4)) AS tx FROM score_v WHERE split = 'val' GROUP BY ticker),
+n AS (SELECT ticker, sector, count(*) AS samples, avg(y) FILTER (WHERE split = 'train') AS train_pos_ratio, count(*) FILTER (WHERE split = 'test') AS n_test FROM score_v GROUP BY ticker, sector),
+c AS (SELECT s.ticker,
+  CAST(count(*) FILTER (WHERE y = 1 AND p_endo >= te) AS DOUBLE) AS etp, count(*) FILTER (WHERE y = 0 AND p_endo >= te) AS efp, count(*) FILTER (WHERE y = 1 AND p_endo < te) AS efn,
+  CAST(count(*) FILTER (WHERE y = 1 AND p_exo >= tx) AS DOUBLE) AS xtp, count(*) FILTER (WHERE y = 0 AND p_exo >= tx) AS xfp, count(*) FILTER (WHERE y = 1 AND p_exo < tx) AS xfn
+  FROM score_v s JOIN th ON th.ticker = s.ticker WHERE split = 'test' GROUP BY s.ticker),
+m AS (SELECT ticker, coalesce(etp / nullif(etp + efp, 0), 0) AS endo_precision, coalesce(etp / nullif(etp + efn, 0), 0) AS endo_recall, coalesce(2 * etp / nullif(2 * etp + efp + efn, 0), 0) AS endo_f1,
+  coalesce(xtp / nullif(xtp + xfp, 0), 0) AS exo_precision, coalesce(xtp / nullif(xtp + xfn, 0), 0) AS exo_recall, coalesce(2 * xtp / nullif(2 * xtp + xfp + xfn, 0), 0) AS exo_f1 FROM c),
+r AS (SELECT n.ticker, sector, samples, train_pos_ratio, n.n_test AS test, endo_f1, endo_precision, endo_recall, te AS endo_threshold, endo_auc,
+  exo_f1, exo_precision, exo_recall, tx AS exo_threshold, exo_auc, CASE WHEN endo_f1 = 0 THEN 0 ELSE (exo_f1 - endo_f1) / endo_f1 END AS f1_lift,
+  exo_auc - endo_auc AS auc_lift, exo_f1 > endo_f1 AS exo_better, SNAP6(dm) AS dm_stat
+  FROM n JOIN th ON th.ticker = n.ticker JOIN m ON m.ticker = n.ticker JOIN auc_v a ON a.ticker = n.ticker JOIN dm_v d ON d.ticker = n.ticker)
+SELECT *, coalesce(abs(dm_stat) > 1.959964 + (1.959964::DOUBLE ** 3 + 1.959964) / 4 / (test - 1)
+  + (5 * 1.959964::DOUBLE ** 5 + 16 * 1.959964::DOUBLE ** 3 + 3 * 1.959964) / 96 / ((test - 1) * (test - 1)) AND dm_stat > 0 AND f1_lift > 0, false) AS significant FROM r""",
+    "sweep_v": """
+WITH g AS (SELECT ticker, t, p_endo, fwd_ret FROM score_v, (SELECT unnest(generate_series(40, 90)) AS t) WHERE split = 'val' AND fwd_ret IS NOT NULL AND p_endo >= t / 100.0::DOUBLE),
+a AS (SELECT ticker, t, avg(CASE WHEN fwd_ret > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS win,
+  CASE WHEN count(*) >= 10 AND SNAP9(stddev_pop(fwd_ret)) > 0 THEN SNAP6(avg(fwd_ret) / stddev_pop(fwd_ret) * sqrt(252)) ELSE -999 END AS sharpe FROM g GROUP BY ticker, t),
+b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY sharpe DESC, t) AS rn FROM a WHERE sharpe > -999 AND win >= 0.5)
+SELECT k.ticker, coalesce(b.t / 100.0::DOUBLE, 0.5) AS threshold, b.sharpe AS best_sharpe FROM (SELECT DISTINCT ticker FROM score_v WHERE split = 'val') k LEFT JOIN b ON b.ticker = k.ticker AND b.rn = 1""",
     "replies_v": """
 SELECT event_id AS id, value, props, concat('note ', CASE event_id % 4 WHEN 0 THEN '{"sentiment": "Positive", "reasoning": "up"}'
   WHEN 1 THEN '{"sentiment": "NEGATIVE", "reasoning": "down"}' WHEN 2 THEN '{"reasoning": "flat"}' ELSE '{"sentiment": positive' END, ' end') AS text FROM events""",

@@ -158,7 +158,7 @@ class Tables:
     @cached_property
     def sector_days(self) -> DataFrame:
         """Daily mean close of a sector."""
-        return self.bars.groupBy("sector", "dt").agg(F.avg("close").alias("close"))
+        return self.bars.groupBy("sector", "dt").agg(snap(F.avg("close"), 9).alias("close"))
 
     @cached_property
     def sector_news(self) -> DataFrame:
