@@ -69,7 +69,7 @@ def parse_any_date(*candidates: ColumnLike) -> Column:
     for candidate in candidates:
         c = col(candidate)
         day = F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})([T ].*)?$", 1)
-        parsed.append(F.try_to_date(F.nullif(day, F.lit("")), F.lit("yyyy-MM-dd")))
+        parsed.append(day.try_cast("date"))
     return F.coalesce(*parsed)
 
 

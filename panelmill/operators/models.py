@@ -60,3 +60,23 @@ def compare_feature_sets(scores: DataFrame, a: str = "endo", b: str = "exo", key
         "dm_stat",
         significant("dm_stat", "test", "f1_lift").alias("significant"),
     )
+
+
+def eligible_baseline(report: DataFrame, min_f1: float = 0.25, n_a: str | None = None, n_b: str | None = None) -> DataFrame:
+    """Keys with a usable baseline and, where both counts are given, the same rows in both feature sets."""
+    out = report.filter(F.col("endo_f1") >= min_f1)
+    return out.filter(F.col(n_a) == F.col(n_b)) if n_a and n_b else out
+
+
+# Digits of the report's columns.
+REPORT_DIGITS = {"train_pos_ratio": 3, "threshold": 2, "dm_stat": 4, "p_value": 6}
+
+
+def rounded_report(report: DataFrame) -> DataFrame:
+    """Report values rounded as published: four digits unless listed."""
+    out = {}
+    for name, kind in report.dtypes:
+        if kind == "double":
+            digits = REPORT_DIGITS.get(name, REPORT_DIGITS.get(name.split("_", 1)[-1], 4))
+            out[name] = snap(name, digits)
+    return report.withColumns(out)

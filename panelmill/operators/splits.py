@@ -118,3 +118,12 @@ def split_size_guard(df: DataFrame, total: int = 100, train: int = 50, val: int
     return sizes.filter(
         (F.col("n_rows") >= total) & (F.col("n_train") >= train) & (F.col("n_val") >= val) & (F.col("n_test") >= test)
     )
+
+
+def fold_ranges(sizes: DataFrame, window: int, test: int = 63, purge: int = 2, embargo: int = 2, key: str = KEY) -> DataFrame:
+    """One row per fold of each key: the half-open position range of its test block."""
+    first = window + purge + embargo
+    last = F.floor((F.col("n") - first - test) / test)
+    folds = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last.cast("long")))
+    start = (F.lit(first) + F.col("fold") * test).cast("long")
+    return sizes.select(key, F.explode(folds).alias("fold")).select(key, "fold", start.alias("test_start"), (start + test).alias("test_end"))

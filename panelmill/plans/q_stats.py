@@ -86,12 +86,12 @@ def correlation_matrix(t):
 
 
 SAMPLE_FEATS = ["ret_w0_mean", "ret_w1_mean", "ret_w0_std", "ret_w1_std", "cumret_w0", "cumret_w1", "macro_usd_egp_change"]
-SPAIRS = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, abs(corr({a}, {b})) AS abs_corr FROM samples_v" for a, b in combinations(SAMPLE_FEATS, 2))
+BPAIRS = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, abs(corr({a}, {b})) AS abs_corr FROM bars_v" for a, b in combinations(BARS, 2))
 
 
-@query("d10_correlated_pairs", f"SELECT feature_a, feature_b, SNAP6(abs_corr) AS abs_corr FROM ({SPAIRS}) WHERE abs_corr > 0.85")
+@query("d10_correlated_pairs", f"SELECT feature_a, feature_b, SNAP6(abs_corr) AS abs_corr FROM ({BPAIRS}) WHERE abs_corr > 0.85")
 def correlated_pairs(t):
-    return stats.correlated_pairs(t.samples, SAMPLE_FEATS).withColumn("abs_corr", snap("abs_corr"))
+    return stats.correlated_pairs(t.bars, BARS).withColumn("abs_corr", snap("abs_corr"))
 
 
 TCORR = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, target_buffered) AS corr FROM training_v" for c in FEATS)
