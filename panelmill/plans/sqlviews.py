@@ -230,3 +230,4 @@ SELECT event_id AS id, value, props, concat('note ', CASE event_id % 4 WHEN 0 TH
   WHEN 1 THEN '{"sentiment": "NEGATIVE", "reasoning": "down"}' WHEN 2 THEN '{"reasoning": "flat"}' ELSE '{"sentiment": positive' END, ' end') AS text FROM events""",
     "ticks_v": "SELECT event_id, ts, user_id AS ticker, event_type, value AS price FROM events",
 }
+SQL_VIEWS["sweep_exo_v"] = SQL_VIEWS["sweep_v"].replace("p_endo", "p_exo")
