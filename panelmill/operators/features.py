@@ -35,23 +35,16 @@ def macro_features(macro: DataFrame) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls take the column's exact median (a scalar subquery)."""
-    for c in columns:
-        median = df.agg(F.median(c)).scalar()
-        df = df.withColumn(c, F.coalesce(F.col(c), median))
-    return df
+    """Nulls take the column's exact median; all medians come from one scalar subquery."""
+    medians = df.agg(F.struct(*[F.median(c).alias(c) for c in columns])).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in columns})
 
 
-def join_macro_features(bars: DataFrame, macro: DataFrame, per_key: bool = True) -> DataFrame:
-    """Returns and flags filled with 0, levels filled forward (within the ticker unless `per_key` is off)."""
+def join_macro_features(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """Returns and flags filled with 0, levels filled forward within the ticker."""
     joined = panel.join_macro(bars, macro_features(macro))
     zeros = ["usd_return_daily", "gold_return_daily", "gas_return", "gas_update_flag", "gdp_growth"]
-    joined = joined.fillna(0, subset=zeros)
-    levels = ["headline_inflation", "cbe_lending_rate"]
-    if not per_key:
-        # the leaking form: along the last value seen on any ticker's row of an earlier date
-        return panel.join_macro(bars, panel.fill_columns(macro_features(macro), levels, key=None)).fillna(0, subset=zeros)
-    return panel.fill_columns(joined, levels)
+    return panel.fill_columns(joined.fillna(0, subset=zeros), ["headline_inflation", "cbe_lending_rate"])
 
 
 def price_features(bars: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelmill.functions.columns import apply_threshold, relative_lift, significant, snap, squared_loss
 from panelmill.operators import splits, stats
 from panelmill.operators.panel import DATE, KEY
+from panelmill.session import materialise
 
 # Published settings of the learners.
 BOOSTED = {"maxDepth": 6, "stepSize": 0.03, "maxIter": 1000}
@@ -110,7 +111,7 @@ def fit_logistic_per_key(
         x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
         head = {k: [pdf[k].iloc[0]] for k in keys}
         if len(y) < min_rows or y.min() == y.max():
-            return pd.DataFrame({c: [] for c in [*keys, "n_train", "mu", "sigma", "coef", "intercept"]})
+            return pd.DataFrame(columns=[*keys, "n_train", "mu", "sigma", "coef", "intercept"], dtype=object)
         order = np.lexsort(np.column_stack([x, y]).T[::-1])
         x, y = x[order], y[order]
         mu, sigma = x.mean(axis=0), x.std(axis=0)
@@ -169,20 +170,17 @@ def walk_forward_tournament(
 ) -> DataFrame:
     """One row per (ticker, window): pooled metrics of two feature sets over walk-forward folds, DM and lift.
 
-    Rows expand to (fold, role) first and meet their features by one join; every fit is a group of
-    (ticker, window, fold) with at most window rows.
+    The table is written once, since both fits and the scoring read it. A row carries its features into
+    every (window, fold, role); a fit is a group of (ticker, window, fold) with at most window rows.
     """
-    (name_a, _), (name_b, _) = feature_sets.items()
-    folds = None
-    for name, size in windows.items():
-        one = splits.walk_forward_folds(df, size, test, key=key).withColumn("window", F.lit(name))
-        folds = one if folds is None else folds.unionByName(one)
-    rows = folds.join(df, [key, DATE])
+    name_a, name_b = feature_sets
+    columns = sorted({c for cols in feature_sets.values() for c in cols})
+    table = materialise(df.select(key, DATE, target, *columns), "tournament")
+    rows = splits.walk_forward_folds(table, windows, test, key=key)
     keys = [key, "window", "fold"]
-    scored = rows.filter("role = 'test'")
+    train, scored = rows.filter("role = 'train'"), rows.filter("role = 'test'")
     for name, cols in feature_sets.items():
-        fits = fit_logistic_per_key(rows.filter("role = 'train'"), cols, target, keys, c)
-        scored = score_logistic(scored, fits, cols, keys, f"p_{name}")
+        scored = score_logistic(scored, fit_logistic_per_key(train, cols, target, keys, c), cols, keys, f"p_{name}")
     d = squared_loss(target, f"p_{name_a}") - squared_loss(target, f"p_{name_b}")
     aggs = [F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("n_folds"), F.avg(d).alias("d_bar"), F.var_samp(d).alias("g0")]
     for name in (name_a, name_b):
@@ -234,6 +232,7 @@ def sharpe_training(scores: DataFrame, p: str, r: str, key: str = KEY) -> DataFr
 def strategy_grid(scores: DataFrame, sets: dict[str, str], r: str, key: str = KEY) -> DataFrame:
     """Each feature set with each threshold rule: precision, mean return and trades on the test rows."""
     out = None
+    scores = materialise(scores.filter("split in ('val', 'test')"), "strategies")
     val, test = scores.filter("split = 'val'"), scores.filter("split = 'test'")
     for name, p in sets.items():
         rules = {

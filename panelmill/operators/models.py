@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from panelmill.functions.columns import apply_threshold, ratio, relative_lift, significant, snap, squared_loss, zero_if_null
+from panelmill.functions.columns import apply_threshold, relative_lift, significant, snap, squared_loss
 from panelmill.operators import stats
-from panelmill.operators.panel import DATE, KEY
+from panelmill.operators.panel import KEY
 
 
 def score_and_decide(scores: DataFrame, p: str, share: float = 0.40, key: str = KEY) -> DataFrame:
@@ -18,36 +18,41 @@ def score_and_decide(scores: DataFrame, p: str, share: float = 0.40, key: str =
 def compare_feature_sets(scores: DataFrame, a: str = "endo", b: str = "exo", key: str = KEY, label: str = "sector") -> DataFrame:
     """One row per key: metrics, AUC, DM, lift and significance of two scores on the same rows.
 
-    Counts, thresholds and losses are keyed aggregates of one scored table; the AUCs add one each.
+    Thresholds and ranks are windows inside the key, the report one aggregate over it: the scored
+    table is read once and never joined with itself, and a table partitioned by key is not shuffled.
     """
-    in_split = lambda s: F.col("split") == s
-    val = lambda c: F.when(in_split("val"), F.col(c))
-    base = scores.groupBy(key, label).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.avg(F.when(in_split("train"), F.col("y"))).alias("train_pos_ratio"),
-        F.count_if(in_split("test")).alias("test"),
-        *[snap(F.percentile(val(f"p_{m}"), F.lit(0.4)), 9).alias(f"{m}_threshold") for m in (a, b)],
+    own = Window.partitionBy(key)
+    test, y = F.col("split") == "test", F.col("y")
+    staged = scores.withColumns(
+        {f"{m}_threshold": snap(F.percentile(F.when(F.col("split") == "val", F.col(f"p_{m}")), F.lit(0.4)).over(own), 9) for m in (a, b)}
     )
-    test = scores.filter(in_split("test"))
-    decided = test.join(base.select(key, f"{a}_threshold", f"{b}_threshold"), key)
-    d = squared_loss("y", f"p_{a}") - squared_loss("y", f"p_{b}")
-    hits = {}
     for m in (a, b):
-        yhat = F.col(f"p_{m}") >= F.col(f"{m}_threshold")
-        hits |= {
-            f"{m}_tp": F.count_if((F.col("y") == 1) & yhat),
-            f"{m}_fp": F.count_if((F.col("y") == 0) & yhat),
-            f"{m}_fn": F.count_if((F.col("y") == 1) & ~yhat),
-            f"{m}_tn": F.count_if((F.col("y") == 0) & ~yhat),
+        # average rank within the test rows of the key: rank plus half of the further ties
+        order = Window.partitionBy(key, "split").orderBy(f"p_{m}")
+        ties = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
+        staged = staged.withColumn(f"{m}_rank", F.rank().over(order) + (ties - 1) / 2.0)
+    d = F.when(test, squared_loss("y", f"p_{a}") - squared_loss("y", f"p_{b}"))
+    aggs = {
+        "samples": F.count(F.lit(1)),
+        "train_pos_ratio": F.avg(F.when(F.col("split") == "train", y)),
+        "test": F.count_if(test),
+        "n": F.count(d), "d_bar": F.avg(d), "g0": F.var_samp(d),
+        "pos": F.count_if(test & (y == 1)),
+    }
+    for m in (a, b):
+        yes = F.col(f"p_{m}") >= F.col(f"{m}_threshold")
+        aggs |= {
+            f"{m}_threshold": F.max(f"{m}_threshold"),
+            f"{m}_tp": F.count_if(test & (y == 1) & yes), f"{m}_fp": F.count_if(test & (y == 0) & yes),
+            f"{m}_fn": F.count_if(test & (y == 1) & ~yes), f"{m}_tn": F.count_if(test & (y == 0) & ~yes),
+            f"{m}_rank": F.sum(F.when(test & (y == 1), F.col(f"{m}_rank"))),
         }
-    counted = decided.groupBy(key).agg(
-        *[c.alias(n) for n, c in hits.items()], F.count(d).alias("n"), F.avg(d).alias("d_bar"), F.var_samp(d).alias("g0")
-    )
-    out = base.join(counted, key)
+    out = staged.groupBy(key, label).agg(*[c.alias(n) for n, c in aggs.items()])
+    pos, neg = F.col("pos"), F.col("test") - F.col("pos")
     for m in (a, b):
         cells = [F.col(f"{m}_{c}") for c in ("tp", "fp", "fn", "tn")]
         out = out.withColumns({f"{m}_{n}": c for n, c in stats.metric_columns(*cells).items()})
-        out = out.join(stats.roc_auc(test, "y", f"p_{m}", key).withColumnRenamed("auc", f"{m}_auc"), key, "left")
+        out = out.withColumn(f"{m}_auc", F.try_divide(F.col(f"{m}_rank") - pos * (pos + 1) / 2.0, (pos * neg).cast("double")))
     v = F.col("g0") / F.col("n")
     dm = F.when((F.col("n") >= 10) & (v > 0), F.col("d_bar") / F.sqrt(v))
     out = out.withColumns({"dm_stat": snap(dm, 6), "f1_lift": relative_lift(f"{a}_f1", f"{b}_f1")})

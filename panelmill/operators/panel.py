@@ -46,15 +46,18 @@ def join_macro(bars: DataFrame, macro: DataFrame, order: str = DATE) -> DataFram
 
 
 def _bounded(series: DataFrame, order: str) -> DataFrame:
-    """Broadcast a series that has one row per day (see `per_day`).
+    """Broadcast a date-level series, with the bound enforced in the plan.
 
-    The bound is proven, not assumed: a day outside four centuries fails the job, so there are at
-    most 146,097 rows.
+    A second row of a day or a day outside four centuries fails the job, so what is broadcast has at
+    most 146,097 rows. A series grouped by day is already partitioned that way: no further shuffle.
     """
     day = F.when(
         F.col(order).between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), F.col(order)
     ).otherwise(F.raise_error(F.lit("date outside 1900-2299: series is not bounded")).cast("date"))
-    return F.broadcast(series.withColumn(order, day))
+    values = [F.first(c).alias(c) for c in series.columns if c != order]
+    grouped = series.groupBy(order).agg(F.count(F.lit(1)).alias("_n"), *values)
+    single = F.when(F.col("_n") == 1, day).otherwise(F.raise_error(F.lit("more than one row per day")).cast("date"))
+    return F.broadcast(grouped.withColumn(order, single).drop("_n"))
 
 
 def merge_series(*series: DataFrame, order: str = DATE) -> DataFrame:
@@ -356,11 +359,12 @@ def window_samples(
     changes: tuple[str, ...] = (),
     levels: tuple[str, ...] = (),
     keep_neutral: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Three-week samples anchored on the last row of week 1.
 
     Week 0 and week 1 are trailing frames, week 2 a leading frame; rows without ten rows back
-    and five forward have no sample. Columns named in `changes` and `levels` must be on the bars.
+    and five forward have no sample. Columns named in `changes`, `levels` and `keep` must be on the bars.
     """
     order = by_key()
     w0, w1, w2 = order.rowsBetween(-(2 * w - 1), -w), order.rowsBetween(-(w - 1), 0), order.rowsBetween(1, w)
@@ -402,7 +406,7 @@ def window_samples(
     features = [f"ret_{x}_d{d}" for x in ("w0", "w1") for d in range(w)]
     features += ["ret_w0_mean", "ret_w1_mean", "ret_w0_std", "ret_w1_std", "cumret_w0", "cumret_w1", "vol_change_w0w1"]
     features += [f"macro_{c}_change" for c in changes] + [f"macro_{c}_level" for c in levels]
-    return out.select(KEY, DATE, "sector", "close", "ratio", "target", *features)
+    return out.select(KEY, DATE, "sector", "close", "ratio", "target", *features, *keep)
 
 
 # ------------------------------------------------------------------ calendar, sets

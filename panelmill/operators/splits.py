@@ -52,31 +52,38 @@ def purged_split(df: DataFrame, train: float = 0.72, val: float = 0.08, gap: int
     return staged.withColumn("split", label)
 
 
-def walk_forward_folds(df: DataFrame, window: int, test: int = 63, purge: int = 2, embargo: int = 2, key: str = KEY, order: str = DATE) -> DataFrame:
-    """(key, fold, role, row_no): every row names the folds it belongs to and expands itself.
+def fold_roles(window: int, test: int = 63, purge: int = 2, embargo: int = 2) -> Column:
+    """Array of (fold, role) that a row with row_no and n_rows belongs to.
 
     Test block f covers positions [start_f, start_f + test) with start_f = window + gap + f * test;
     its training rows are the `window` rows that end `gap` rows earlier. So a row is in at most one
     test block and in about window / test training blocks: two bounded sequences, no range join.
     """
-    gap = purge + embargo
-    staged = with_positions(df.select(key, order), key, order)
+    first = window + purge + embargo
     pos = F.col("row_no") - 1
-    first = window + gap
     last_fold = F.floor((F.col("n_rows") - first - test) / test)
     test_fold = F.floor((pos - first) / test)
     in_test = (pos >= first) & (test_fold <= last_fold)
-    # train of fold f: f*test <= pos < window + f*test
     low = F.greatest(F.lit(0), F.ceil((pos - window + 1) / test)).cast("long")
     high = F.least(F.floor(pos / test), last_fold).cast("long")
-    roles = F.concat(
-        F.when(in_test, F.array(F.struct(test_fold.cast("long").alias("fold"), F.lit("test").alias("role")))).otherwise(F.array()),
-        F.when(
-            (last_fold >= 0) & (low <= high),
-            F.transform(F.sequence(low, high), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("role"))),
-        ).otherwise(F.array()),
+    tests = F.when(in_test, F.array(F.struct(test_fold.cast("long").alias("fold"), F.lit("test").alias("role"))))
+    trains = F.when(
+        (last_fold >= 0) & (low <= high),
+        F.transform(F.sequence(low, high), lambda f: F.struct(f.alias("fold"), F.lit("train").alias("role"))),
     )
-    return staged.select(key, order, "row_no", F.explode(roles).alias("_r")).select(key, order, "row_no", "_r.fold", "_r.role")
+    return F.concat(F.coalesce(tests, F.array()), F.coalesce(trains, F.array()))
+
+
+def walk_forward_folds(df: DataFrame, windows: dict[str, int], test: int = 63, purge: int = 2, embargo: int = 2, key: str = KEY, order: str = DATE) -> DataFrame:
+    """Every row once per (window, fold, role) it belongs to; the rows carry their columns, so nothing is joined back."""
+    staged = with_positions(df, key, order)
+
+    def labelled(name: str, size: int) -> Column:
+        label = lambda r: F.struct(F.lit(name).alias("window"), r["fold"].alias("fold"), r["role"].alias("role"))
+        return F.transform(fold_roles(size, test, purge, embargo), label)
+
+    per_window = [labelled(name, size) for name, size in windows.items()]
+    return staged.select("*", F.explode(F.concat(*per_window)).alias("_r")).select(*df.columns, "row_no", "_r.window", "_r.fold", "_r.role")
 
 
 def zscore_expr(c: str, train: Column, key: str = KEY, population: bool = False) -> Column:

@@ -287,24 +287,25 @@ def sharpe_threshold_sweep(df: DataFrame, p: str, r: str, lo: int = 40, hi: int
     summed by score step (map-side) and the steps are accumulated from the top: 51 rows per key.
     """
     step = F.least(F.floor(snap(F.col(p) * 100, 6)), F.lit(hi)).cast("long")
-    base = df.filter((step >= lo) & F.col(r).isNotNull()).select(key, step.alias("t"), F.col(r).alias("_r"))
-    cells = base.groupBy(key, "t").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_r").alias("s"), F.sum(F.col("_r") * F.col("_r")).alias("ss"), F.count_if(F.col("_r") > 0).alias("w")
+    # rows below the grid or without a return only keep their key in the result
+    cell = F.when((step >= lo) & F.col(r).isNotNull(), step)
+    cells = df.select(key, cell.alias("t"), F.when(cell.isNotNull(), F.col(r)).alias("_r")).groupBy(key, "t").agg(
+        F.count("_r").alias("n"), F.sum("_r").alias("s"), F.sum(F.col("_r") * F.col("_r")).alias("ss"), F.count_if(F.col("_r") > 0).alias("w")
     )
-    w = Window.partitionBy(key).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    above = cells.select(key, "t", *[F.sum(c).over(w).alias(c) for c in ("n", "s", "ss", "w")])
-    # a step without rows of its own selects the same trades as the next higher one, so it ties with it; the
-    # lowest step of such a run is the one after the next lower step that has rows
-    low = F.coalesce(F.lag("t").over(Window.partitionBy(key).orderBy("t")) + 1, F.lit(lo)).alias("t_low")
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))
-    curve = above.select(key, low, "n", (F.col("w") / F.col("n")).alias("win"), snap(sharpe(F.col("n"), mean, std), 6).alias("sharpe"))
-    valid = (F.col("sharpe") > INVALID_SHARPE) & (F.col("win") >= 0.5)
-    best = curve.filter(valid).groupBy(key).agg(F.max_by("t_low", F.struct("sharpe", -F.col("t_low"))).alias("t"), F.max("sharpe").alias("best_sharpe"))
-    keys = df.select(key).distinct()
-    return keys.join(best, key, "left").select(
-        key, F.coalesce(F.col("t") / F.lit(100.0), F.lit(default)).alias("threshold"), "best_sharpe"
+    down = Window.partitionBy(key).orderBy(F.desc_nulls_last("t"))
+    above = {c: F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, 0)) for c in ("n", "s", "ss", "w")}
+    # a threshold without rows of its own selects the trades of the next higher one with rows and ties with it;
+    # the lowest threshold of such a run follows the next lower step
+    low = F.coalesce(F.lead("t").over(down) + 1, F.lit(lo))
+    totals = cells.select(key, "t", low.alias("t_low"), *[v.alias(c) for c, v in above.items()])
+    mean = F.try_divide(F.col("s"), F.col("n"))
+    std = F.sqrt(F.greatest(F.try_divide(F.col("ss"), F.col("n")) - mean * mean, F.lit(0.0)))
+    curve = totals.select(key, "t", "t_low", F.try_divide("w", "n").alias("win"), snap(sharpe(F.col("n"), mean, std), 6).alias("sharpe"))
+    valid = F.col("t").isNotNull() & (F.col("sharpe") > INVALID_SHARPE) & (F.col("win") >= 0.5)
+    best = curve.groupBy(key).agg(
+        F.max(F.when(valid, F.struct(F.col("sharpe"), (-F.col("t_low")).alias("down")))).alias("b")
     )
+    return best.select(key, F.coalesce(-F.col("b.down") / F.lit(100.0), F.lit(default)).alias("threshold"), F.col("b.sharpe").alias("best_sharpe"))
 
 
 # ------------------------------------------------------------------ result tables

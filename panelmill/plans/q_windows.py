@@ -318,7 +318,7 @@ FOLDS = """WITH p AS (SELECT ticker, dt, row_number() OVER (PARTITION BY ticker
 
 @query("e28_walk_forward_folds", FOLDS.replace("{win}", "126"))
 def walk_forward_folds(t):
-    return splits.walk_forward_folds(t.bars, 126)
+    return splits.walk_forward_folds(t.bars.select(*ID), {"Reactionary": 126}).drop("window")
 
 
 @query(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelmill.functions.columns import flag, ratio, snap, zero_if_null
+from panelmill.functions.columns import snap
 from panelmill.operators import features, news, panel, splits
 from panelmill.plans import config
 
@@ -109,33 +109,33 @@ class Tables:
     # ------------------------------------------------------------------ scores
     @cached_property
     def samples(self) -> DataFrame:
+        """Window samples with one changing and one level macro series, and the five-row forward return."""
         m = self.macro.select("dt", F.col("usd_sell_rate").alias("usd_egp"), "cbe_lending_rate")
         bars = panel.fill_columns(panel.join_macro(self.bars, m), ["usd_egp", "cbe_lending_rate"])
-        return panel.window_samples(bars, changes=("usd_egp",), levels=("cbe_lending_rate",))
+        bars = bars.withColumn("fwd_ret", panel.next_return("close", panel.by_key(), 5))
+        return panel.window_samples(bars, changes=("usd_egp",), levels=("cbe_lending_rate",), keep=("fwd_ret",))
 
     @cached_property
     def scores(self) -> DataFrame:
         """A given score: logistic of standardised momentum, with and without the macro change.
 
-        split, y and the five-row forward return are those of the window samples.
+        Samples, split, standardisation and score share the ticker partitioning of the bars: one exchange.
         """
-        fwd = self.bars.select("ticker", "dt", panel.next_return("close", panel.by_key(), 5).alias("fwd_ret"))
         s = self.samples.select(
-            "ticker", "dt", "sector", F.col("target").alias("y"),
+            "ticker", "dt", "sector", F.col("target").alias("y"), snap("fwd_ret", 9).alias("fwd_ret"),
             snap(F.col("ret_w0_mean") + F.col("ret_w1_mean"), 9).alias("mom"),
             snap("macro_usd_egp_change", 9).alias("usd"),
         )
         s = splits.purged_split(s)
         train = F.col("split") == "train"
-        for c in ("mom", "usd"):
-            s = s.withColumn(f"z_{c}", splits.zscore_expr(c, train))
+        s = s.withColumns({f"z_{c}": splits.zscore_expr(c, train) for c in ("mom", "usd")})
         logistic = lambda x: snap(1 / (1 + F.exp(-x)), 9)
-        scored = s.select(
+        return s.select(
             "ticker", "dt", "sector", "split", "row_no", "n_rows", "y",
             logistic(F.col("z_mom")).alias("p_endo"),
             logistic(F.col("z_mom") + F.lit(0.5) * F.col("z_usd")).alias("p_exo"),
+            "fwd_ret",
         )
-        return scored.join(fwd, ["ticker", "dt"]).withColumn("fwd_ret", snap("fwd_ret", 9))
 
     # -------------------------------------------------------------------- news
     @cached_property

@@ -1,6 +1,6 @@
 """Session settings the operators rely on."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="panelmill-ckpt-")
@@ -48,3 +50,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back: cuts the lineage and survives lost executors."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
