@@ -42,15 +42,15 @@ class Tables:
             F.max_by("p", "seq").alias("close"),
             F.sum("q").cast("long").alias("volume"),
         )
-        place = (
-            self.read("supplier")
+        # left-deep, so that each dimension is judged by its own size and never as a product of sizes
+        placed = (
+            daily.join(self.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.read("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", F.col("n_name").alias("isin"), F.col("r_name").alias("sector"))
         )
-        return daily.join(place, daily.l_suppkey == place.s_suppkey).select(
+        return placed.select(
             F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
-            "dt", "isin", "sector", "open", "high", "low", "close", "volume",
+            "dt", F.col("n_name").alias("isin"), F.col("r_name").alias("sector"), "open", "high", "low", "close", "volume",
         )
 
     @cached_property
