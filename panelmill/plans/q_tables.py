@@ -138,10 +138,10 @@ def strip_sql(x):
 
 @query(
     "a11_extract_guarded_number",
-    rf"""SELECT page_id, list_filter(list_transform(regexp_extract_all({strip_sql('url')}, '[\d,]+\.?\d*', 0), lambda s: TRY_CAST(replace(s, ',', '') AS DOUBLE)), lambda v: v > 100 AND v < 900)[1] AS number FROM pages""",
+    rf"""SELECT page_id, list_filter(list_transform(regexp_extract_all({strip_sql('html')}, '[\d,]+\.?\d*', 0), lambda s: TRY_CAST(replace(s, ',', '') AS DOUBLE)), lambda v: v > 1 AND v < 100000)[1] AS number FROM pages""",
 )
 def a11(t):
-    return news.extract_guarded_number(t.read("pages"), 100, 900, "url")
+    return news.extract_guarded_number(t.read("pages"), 1, 100000)
 
 
 @query(
