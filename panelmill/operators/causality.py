@@ -75,7 +75,7 @@ def granger_lag1(df: DataFrame, cause: str, effect: str, key: str = KEY, order:
     restricted = F.expr("yy - try_divide(ya * ya, aa)")
     full = F.expr("yy - try_divide(ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa, aa * bb - ab * ab)")
     chi2 = F.try_divide(F.col("n") * (restricted - full), full)
-    return m.select(key, "n", chi2.alias("chi2"), (chi2 > CHI2_1).alias("is_significant"))
+    return m.select(key, "n", chi2.alias("chi2"), F.coalesce(chi2 > CHI2_1, F.lit(False)).alias("is_significant"))
 
 
 def granger(

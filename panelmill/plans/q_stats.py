@@ -392,8 +392,8 @@ def positive_rate(t):
     """WITH d AS (SELECT sector, dt, score, close, lag(score) OVER w AS x1, lag(close) OVER w AS y1 FROM sector_news_v WINDOW w AS (PARTITION BY sector ORDER BY dt)),
     m AS (SELECT sector, count(*) AS n, var_pop(close) AS yy, var_pop(y1) AS aa, var_pop(x1) AS bb, covar_pop(close, y1) AS ya, covar_pop(close, x1) AS yb, covar_pop(y1, x1) AS ab
           FROM d WHERE x1 IS NOT NULL GROUP BY sector),
-    s AS (SELECT *, yy - ya * ya / aa AS sr, yy - (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / (aa * bb - ab * ab) AS su FROM m)
-    SELECT sector, n, SNAP6(n * (sr - su) / su) AS chi2, n * (sr - su) / su > 3.841459 AS is_significant FROM s""",
+    s AS (SELECT *, yy - ya * ya / nullif(aa, 0) AS sr, yy - (ya * ya * bb - 2 * ya * yb * ab + yb * yb * aa) / nullif(aa * bb - ab * ab, 0) AS su FROM m)
+    SELECT sector, n, SNAP6(n * (sr - su) / nullif(su, 0)) AS chi2, coalesce(n * (sr - su) / nullif(su, 0) > 3.841459, false) AS is_significant FROM s""",
 )
 def granger_lag1(t):
     out = causality.granger_lag1(t.sector_news, "score", "close", key="sector")

@@ -26,13 +26,10 @@ def read_articles(spark: SparkSession, path: str, on_bad: str = "skip", schema:
     """JSON lines; malformed lines are skipped, or fail the job with on_bad='raise'."""
     if on_bad == "raise":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    marked = (
-        spark.read.schema(f"{schema}, _corrupt_record string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    return marked.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # parsed per line, so that a plain count skips malformed lines as well
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(path).select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"))
+    return parsed.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,6 +10,6 @@ from panelmill.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "4", "4g")
+    session = local_session("4", "2", "4g")
     yield session
     session.stop()
