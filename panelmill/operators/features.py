@@ -34,9 +34,14 @@ def macro_features(macro: DataFrame) -> DataFrame:
     )
 
 
-def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls take the column's exact median; all medians come from one scalar subquery."""
-    medians = df.agg(F.struct(*[F.median(c).alias(c) for c in columns])).scalar()
+def fill_median(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """Nulls take the column's median; all medians come from one scalar subquery.
+
+    The exact form counts distinct values, which macro levels bound by the calendar; a free-valued
+    column of a large panel should ask for the approximate one.
+    """
+    median = (lambda c: F.percentile_approx(c, 0.5)) if approximate else F.median
+    medians = df.agg(F.struct(*[median(c).alias(c) for c in columns])).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in columns})
 
 

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from panelmill.functions.columns import apply_threshold, relative_lift, significant, snap, squared_loss
+from panelmill.functions.columns import relative_lift, significant, snap, squared_loss
 from panelmill.operators import splits, stats
 from panelmill.operators.panel import DATE, KEY
 from panelmill.session import materialise

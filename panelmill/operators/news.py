@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelmill.functions.columns import col, flag, ratio, sentiment_score, snap
+from panelmill.functions.columns import col, sentiment_score, snap
 from panelmill.operators.panel import DATE, KEY
 
 # Patterns of stored pages.

@@ -262,7 +262,9 @@ def fill_forward(c: ColumnLike, key: str | None = KEY, order: str = DATE) -> Col
 
 
 def fill_backward(c: ColumnLike, key: str | None = KEY, order: str = DATE) -> Column:
-    return F.first(col(c), ignorenulls=True).over(in_order(key, order).rowsBetween(0, Window.unboundedFollowing))
+    """Next value at or after the row, as a running frame over the reversed order: linear, not quadratic."""
+    back = Window.partitionBy(key).orderBy(F.desc(order)) if key else Window.orderBy(F.desc(order))
+    return F.last(col(c), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def fill_columns(df: DataFrame, columns: list[str], key: str | None = KEY, order: str = DATE, backfill: bool = False) -> DataFrame:

@@ -1,13 +1,11 @@
 """Sorts, limits, top-k (F); set operations (G); scalar functions (H); UDF forms (J)."""
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from panelmill.functions import columns as fn
-from panelmill.functions.columns import flag, snap
-from panelmill.operators import features, models, neardup, news, panel, splits, stats
+from panelmill.functions.columns import snap
+from panelmill.operators import models, neardup, news, panel, splits, stats
 from panelmill.plans import config
 from panelmill.plans.q_stats import MI_FEATS, mi_sql
 from panelmill.plans.registry import query

@@ -1,8 +1,5 @@
 """Flagship: weekly window samples and their class balance."""
 
-from pyspark.sql import functions as F
-
-from panelmill.functions.columns import snap
 from panelmill.operators import stats
 from panelmill.plans.registry import query
 

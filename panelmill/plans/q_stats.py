@@ -405,6 +405,24 @@ def granger(t):
     return causality.granger(t.sector_news, "score", "close", max_lag=5, key="sector", make_stationary=True)
 
 
-@query("d33_stationarity")
+def adf_sql(value):
+    """t statistic of the lagged level with constant and one lagged difference, from centred moments."""
+    return f"""SELECT sector, CAST(count(*) AS DOUBLE) AS n, var_pop(d) AS yy, var_pop(l) AS ll, var_pop(d1) AS dd, covar_pop(d, l) AS ly, covar_pop(d, d1) AS dy, covar_pop(l, d1) AS ld FROM (
+      SELECT *, lag(d) OVER (PARTITION BY sector ORDER BY dt) AS d1 FROM (
+        SELECT sector, dt, {value} - lag({value}) OVER w AS d, lag({value}) OVER w AS l FROM src WINDOW w AS (PARTITION BY sector ORDER BY dt))) WHERE d1 IS NOT NULL GROUP BY sector"""
+
+
+T_STAT = """SELECT sector, b / sqrt(n * (yy - b * ly - g * dy) / (n - 3) / (n * (ll - ld * ld / dd))) AS t FROM
+    (SELECT *, (ly * dd - dy * ld) / (ll * dd - ld * ld) AS b, (dy * ll - ly * ld) / (ll * dd - ld * ld) AS g FROM ({m}))"""
+
+
+@query(
+    "d33_stationarity",
+    f"""WITH src0 AS (SELECT sector, dt, close FROM sector_news_v), a AS ({T_STAT.replace("{m}", adf_sql("close").replace("FROM src ", "FROM src0 "))}),
+    src1 AS (SELECT * FROM (SELECT sector, dt, close - lag(close) OVER (PARTITION BY sector ORDER BY dt) AS close FROM src0) WHERE close IS NOT NULL),
+    b AS ({T_STAT.replace("{m}", adf_sql("close").replace("FROM src ", "FROM src1 "))})
+    SELECT a.sector, SNAP6(a.t) AS t_level, SNAP6(b.t) AS t_diff, CAST(CASE WHEN a.t < -2.86 THEN 0 WHEN b.t < -2.86 THEN 1 ELSE 2 END AS BIGINT) AS n_diff FROM a JOIN b ON a.sector = b.sector""",
+)
 def stationarity(t):
-    return causality.stationarity(t.sector_news, "close", key="sector")
+    out = causality.stationarity(t.sector_news, "close", key="sector")
+    return out.select("sector", *s6("t_level", "t_diff"), "n_diff")

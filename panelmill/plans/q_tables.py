@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from panelmill.functions.columns import flag, parse_any_date, snap, zero_if_null
-from panelmill.operators import features, models, news, panel, splits, stats
+from panelmill.functions.columns import parse_any_date, snap
+from panelmill.operators import features, models, news, panel, splits
 from panelmill.plans import config
 from panelmill.plans.registry import query
 from panelmill.session import shared_folder

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from panelmill.functions.columns import flag, ratio, snap, zero_if_null
+from panelmill.functions.columns import flag, ratio, snap
 from panelmill.operators import features, panel, splits
-from panelmill.operators.panel import by_date, by_key, pct_change
+from panelmill.operators.panel import by_key, pct_change
 from panelmill.plans.registry import query
 
 W = "WINDOW w AS (PARTITION BY ticker ORDER BY dt)"
