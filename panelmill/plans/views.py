@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelmill.functions.columns import snap
 from panelmill.operators import features, news, panel, splits
 from panelmill.plans import config
+from panelmill.sources.tables import spread
 
 
 class Tables:
@@ -35,7 +36,7 @@ class Tables:
             F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity")).alias("q"),
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"),
         )
-        daily = line.groupBy("l_suppkey", "dt").agg(
+        daily = spread(line, "l_suppkey", "dt").groupBy("l_suppkey", "dt").agg(
             F.min_by("p", "seq").alias("open"),
             F.max("p").alias("high"),
             F.min("p").alias("low"),
@@ -140,7 +141,7 @@ class Tables:
     # -------------------------------------------------------------------- news
     @cached_property
     def articles(self) -> DataFrame:
-        d, l = self.read("documents"), self.read("labels")
+        d, l = spread(self.read("documents"), "doc_id"), self.read("labels")
         return d.join(l, "doc_id", "left").select(
             F.col("doc_id").alias("seq"),
             F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"),
