@@ -9,7 +9,7 @@ from panelmill.functions import columns as fn
 from panelmill.operators import news
 
 DAY = dt.date(2024, 1, 1)
-ALIASES = {"WE": ["telecom egypt"], "EAST": ["Eastern Company"], "BANK": ["Commercial Bank"], "OTHER": []}
+ALIASES = {"WE": ["delta telecom"], "EAST": ["Eastern Mills"], "BANK": ["Commercial Bank"], "OTHER": []}
 SECTORS = {"Telecom": ["WE"], "Consumer": ["EAST", "OTHER"], "Banks": ["BANK"]}
 
 
@@ -19,7 +19,7 @@ def articles(spark, texts, sentiments=None):
 
 
 def test_alias_is_raw_containment(spark):
-    got = news.with_tags(articles(spark, ["However, the Eastern Company rose", "nothing", "COMMERCIAL BANK"]), ALIASES).orderBy("seq").collect()
+    got = news.with_tags(articles(spark, ["However, the Eastern Mills rose", "nothing", "COMMERCIAL BANK"]), ALIASES).orderBy("seq").collect()
     # "However" holds "we": the over-match is the rule
     assert [sorted(r["tags"]) for r in got] == [["EAST", "WE"], [], ["BANK"]]
 
@@ -39,7 +39,7 @@ def plain_stock_days(rows):
 
 
 def test_stock_day_sentiment_equals_the_loops(spark):
-    texts = ["Eastern Company falls", "OTHER gains while telecom sleeps", "banks and consumer news", "telecom egypt signs with Commercial Bank", "plain"]
+    texts = ["Eastern Mills falls", "OTHER gains while telecom sleeps", "banks and consumer news", "delta telecom signs with Commercial Bank", "plain"]
     moods = ["negative", "positive", "Very Positive", "neutral", None]
     got = {r["ticker"]: r for r in news.stock_day_sentiment(articles(spark, texts, moods), ALIASES, SECTORS).collect()}
     want = plain_stock_days([(x, "positive" if m == "Very Positive" else m) for x, m in zip(texts, moods)])
