@@ -1,36 +1,40 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Grades: 0 clean; 1 and 2 toxic, 2 where a labelled toxic text holds three or more of the words that mark toxic texts. One
-weight vector is shared by both thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta_0 < theta_1. Features are words
-(presence). The fit is proximal gradient with an L1 penalty, so only words that separate the grades keep a weight, and
-the fitted model is small: at most `MAX_WORDS` weights. The expected severity is the sum of P(grade > k) over k.
+weight vector is shared by both thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta_0 < theta_1. Features are the words of
+a text and their beginnings of 3 to 7 letters (presence), since inflected forms of one word share their beginning. The fit is
+proximal gradient with an L1 penalty, which selects the features that separate the grades, then a nearly unpenalised fit of
+those. The expected severity is the sum of P(grade > k) over k.
 
-The fit uses at most `SAMPLE` labelled documents (those with the smallest hash of their id) and, of their words, the
-`MAX_WORDS` most frequent that at least `MIN_DOCS` of them hold. Everything else covers all rows.
+The fit uses at most `SAMPLE` labelled documents (those with the smallest hash of their id) and, of their features, the
+`MAX_FEATURES` most frequent that at least `MIN_DOCS` of them hold. Everything else covers all rows.
 
 Edge cases: null labels and labels without a document do not train; a null toxic label is no label. Repeated labelled rows count
-once per distinct (id, label, text). With fewer than two classes in the sample all weights are 0, and the thresholds give
-the classes' share: nothing is rejected unless all are toxic. A null or empty text has no features. Rows are scored
+once per distinct (id, label, text). With fewer than two classes in the sample all weights are 0 and the thresholds give the
+classes' share: nothing is rejected unless more than half are toxic. A null or empty text has no features. Rows are scored
 independently: repeated rows and ties need no rule; an empty table gives no rows. Other columns are not read; long texts are
 scored whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE = 6_000
-MAX_WORDS = 50_000
+SAMPLE = 8_000
+MAX_FEATURES = 50_000
 MIN_DOCS = 5
 PENALTY = 0.002
-ROUNDS = 400
-REJECT = 0.5  # P(grade > 0) from which a document is toxic
+ROUNDS = 200
+HEADS = (3, 7)  # lengths of beginnings that are features
+REJECT = 0.5  # P(grade > 0) above which a document is toxic
 ORACLE_SQL = None  # a fitted model; tested by held-out accuracy
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,10 +44,23 @@ class Severity:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
 
+    @cached_property
+    def starts(self) -> set[str]:
+        return {f[: HEADS[0]] for f in self.weights}
+
+    def features(self, text: str) -> set[str]:
+        """The weighted features that a text has."""
+        found, weights, starts, (low, high) = set(), self.weights, self.starts, HEADS
+        for word in set(WORD.findall(text.lower())):
+            if word[:low] in starts:
+                found.add(word)
+                found.update(word[:k] + "*" for k in range(low, min(high + 1, len(word))))
+        return found & weights.keys()
+
     def above(self, text: str) -> list[float]:
         """P(grade > k) for every threshold."""
-        score = sum(self.weights[w] for w in self.weights.keys() & set(WORD.findall(text.lower())))
-        return [1 / (1 + float(np.exp(min(700.0, t - score)))) for t in self.thresholds]
+        score = sum(self.weights[f] for f in sorted(self.features(text)))
+        return [1 / (1 + math.exp(max(-700.0, min(700.0, t - score)))) for t in self.thresholds]
 
 
 def _sigmoid(x):
@@ -84,8 +101,8 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, p: int, grade: np.nd
     return w, theta
 
 
-def training_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, max_words: int = MAX_WORDS):
-    """(word -> rows of the sample that hold it, toxic label per row); bounded by the parameters."""
+def training_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_docs: int = MIN_DOCS, most: int = MAX_FEATURES):
+    """(feature, rows of the sample that have it) and (row, label); bounded by the parameters."""
     chosen = (
         labels.select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("y"))
         .where("d IS NOT NULL AND y IS NOT NULL").distinct()
@@ -94,28 +111,39 @@ def training_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)))
     rows = held.select("d", "y", F.array_sort(words).alias("words"), F.xxhash64("text").alias("t")).distinct().withColumn("row", F.xxhash64("d", "y", "t"))
-    counted = rows.select("row", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.collect_list("row").alias("rows"))
-    frequent = counted.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "word").limit(max_words).select("word", "rows")
+    low, high = HEADS
+    heads = lambda w: F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(w) - 1)), lambda k: F.concat(F.left(w, k), F.lit("*")))
+    every = F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(F.length(w) > low, F.concat(F.array(w), heads(w))).otherwise(F.array(w)))))
+    counted = rows.select("row", F.explode(every).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("row")).alias("rows"))
+    frequent = counted.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "feature").limit(most).select("feature", "rows")
     return frequent, rows.select("row", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """The severity model of labelled documents."""
-    frequent, marks = training_words(docs, labels, sample)
-    graded = sorted(tuple(r) for r in marks.collect())
-    index = {row: i for i, (row, _) in enumerate(graded)}
-    words = sorted((r.word, r.rows) for r in frequent.collect())
-    toxic = np.array([y > 0 for _, y in graded], bool)
-    cols = np.repeat(np.arange(len(words)), [len(rows) for _, rows in words])
-    rows = np.fromiter((index[x] for _, held in words for x in held), np.int64, len(cols))
-    n, p = len(graded), len(words)
-    inside = np.bincount(cols, toxic[rows], p) if p else np.zeros(0)
+    frequent, marks = training_features(docs, labels, sample)
+    graded = marks.toArrow()
+    order = np.argsort(graded["row"].to_numpy(), kind="stable")
+    ids, toxic = graded["row"].to_numpy()[order], graded["y"].to_numpy()[order] > 0
+    table = frequent.toArrow().sort_by("feature").combine_chunks()
+    names, held = table["feature"].to_pylist(), table["rows"].combine_chunks()
+    cols = np.repeat(np.arange(len(names)), np.diff(held.offsets.to_numpy())) if names else np.zeros(0, np.int64)
+    rows = np.searchsorted(ids, held.flatten().to_numpy(zero_copy_only=False)) if names else np.zeros(0, np.int64)
+    n, p = len(ids), len(names)
+    inside = np.bincount(cols, toxic[rows], p)
     outside = np.bincount(cols, minlength=p) - inside
-    marks_toxic = inside / max(1, toxic.sum()) > 8 * (outside + 1) / max(1, (~toxic).sum())
-    strong = np.bincount(rows, marks_toxic[cols], n) if p else np.zeros(n)
+    telling = inside / max(1, toxic.sum()) > 8 * (outside + 1) / max(1, (~toxic).sum())
+    whole = np.array([not f.endswith("*") for f in names], bool)
+    strong = np.bincount(rows, (telling & whole)[cols], n)
     grade = np.where(toxic, 1 + (strong >= 3), 0)
     w, theta = fit_ordinal(rows, cols, n, p, grade)
-    return Severity({words[i][0]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-9)}, tuple(map(float, theta)))
+    kept = np.flatnonzero(np.abs(w) > 1e-9)
+    if kept.size:
+        inner = np.isin(cols, kept)
+        again, theta = fit_ordinal(rows[inner], np.searchsorted(kept, cols[inner]), n, len(kept), grade, PENALTY / 10, 2 * ROUNDS)
+        w = np.zeros(p)
+        w[kept] = again
+    return Severity({names[i]: round(float(w[i]), 6) for i in kept if abs(w[i]) > 1e-9}, tuple(round(float(t), 6) for t in theta))
 
 
 def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -127,7 +155,7 @@ def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
         for batch in batches:
             above = [shared.value.above(t.as_py()) for t in batch.column(1)]
             first, total = [a[0] for a in above], [sum(a) for a in above]
-            columns = [batch.column(0), pa.array(first, pa.float64()), pa.array(total, pa.float64()), pa.array([x >= reject for x in first], pa.bool_())]
+            columns = [batch.column(0), pa.array(first, pa.float64()), pa.array(total, pa.float64()), pa.array([x > reject for x in first], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "p_toxic", "expected_severity", "toxic"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -139,7 +167,7 @@ def rejected(model_ref, reject: float = REJECT):
 
     @F.arrow_udf("boolean")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([model_ref.value.above(t.as_py() or "")[0] >= reject for t in texts], pa.bool_())
+        return pa.array([model_ref.value.above(t.as_py() or "")[0] > reject for t in texts], pa.bool_())
 
     return run
 

@@ -46,7 +46,7 @@ def test_table(spark):
     assert got.keys() == texts.keys()
     for d, t in texts.items():
         assert {i for i, item in bench if item in t} <= got[d]
-    short = [d for d, t in texts.items() if len(t) < 1500][:60]
+    short = [d for d, t in texts.items() if len(t) < 1500][:6]
     for d in short:
         assert got[d] == {i for i, item in bench if plain(item, texts[d], len(item) // op.RATE) is not None}
 

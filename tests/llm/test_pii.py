@@ -46,12 +46,12 @@ def test_edge_texts(spark):
     texts = [
         None, "", "a@b.c@d.e_x@y.zz é😀 a@b a@b. a@b.c.", "1.2.3.4.5.6.7.8 256.1.1.1 007.0255.1.1 1.2.3.4.",
         "4111 1111-1111 1111 4111  1111 1111 1111 4111111111111111-", "+1 (988) 555-2485 +1234567890123456 ++12 34 56 78 901",
-        "x\u0001\u0002a@b.c\u0001 4111\u00021111\u00021111\u00021111 4111 1111 1111 1111", "1 " * 50_000, "9" * 100_000, "a" * 200_000 + "@b.c", "1.2.3.4 " * 300,
+        "x\u0001\u0002a@b.c\u0001 4111\u00021111\u00021111\u00021111 4111 1111 1111 1111", "1 " * 50_000, "9" * 2_000, "a" * 200_000 + "@b.c", "1.2.3.4 " * 300,
     ]
     got = found(spark, texts)
     for i, text in enumerate(texts):
         assert got[i] == brute(text or ""), text and text[:60]
-    assert found(spark, []) == {}
+    assert found(spark, ["9" * 300_000 + " 1.2.3.4 x@y.zz"])[0] == ["ip:300001:300008", "email:300009:300015"]  # the plain patterns take minutes
 
 
 def test_random_texts(spark):
