@@ -6,12 +6,12 @@ import importlib
 
 NAMES = (
     "op1_chat_formatting",
-    # "op2_topk_search",
+    "op2_topk_search",
     "op3_byte_bpe",
     # "op4_lm_scoring",
     "op5_decontamination",
     "op6_pii",
-    # "op7_suffix_dedup",
+    "op7_suffix_dedup",
     "op8_license_scan",
     "op9_toxicity",
     "op10_simhash",
