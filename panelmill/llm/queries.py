@@ -8,7 +8,7 @@ NAMES = (
     "op1_chat_formatting",
     "op2_topk_search",
     "op3_byte_bpe",
-    # "op4_lm_scoring",
+    "op4_lm_scoring",
     "op5_decontamination",
     "op6_pii",
     "op7_suffix_dedup",
