@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 from array import array
+from itertools import islice, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NONE = 1 << 62  # rank of a pair that does not merge
 LEAF = 16  # bytes encoded without halving
 SEGMENT = 1 << 20  # characters after which a long text is cut at the next white space
-CACHE = 400_000  # pieces remembered per worker; only saves time
+RUNS, PIECES = 200_000, 400_000  # entries of a generation of what a worker remembers; only saves time
 KNOWN = 48  # longest piece remembered
 ORACLE_SQL = None  # merges are iterative; tested against tiktoken and by round trip
 
@@ -46,27 +49,35 @@ class TreeEncoder:
 
     def window(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties."""
-        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
-        scores = [rank(data[i : i + 2]) for i in range(len(data) - 1)]
-        while True:
-            best, at = None, -1
-            for i, score in enumerate(scores):
-                if score is not None and (best is None or score < best):
-                    best, at = score, i
-            if best is None:
-                return [self.ranks[p] for p in parts]
+        rank, none = self.ranks.get, NONE
+        if len(data) <= 2 * LEAF:  # scoring every pair anew is faster for a few bytes
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 1:
+                pairs = list(map(add, parts, islice(parts, 1, None)))
+                scores = list(map(rank, pairs, repeat(none)))
+                best = min(scores)
+                if best == none:
+                    break
+                at = scores.index(best)
+                parts[at : at + 2] = (pairs[at],)
+            return list(map(self.ranks.__getitem__, parts))
+        parts = [data[i : i + 1] for i in range(len(data))]
+        scores = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while scores and (best := min(scores)) != none:
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del scores[at]
             if at < len(scores):
-                scores[at] = rank(parts[at] + parts[at + 1])
+                scores[at] = rank(parts[at] + parts[at + 1], none)
             if at:
-                scores[at - 1] = rank(parts[at - 1] + parts[at])
+                scores[at - 1] = rank(parts[at - 1] + parts[at], none)
+        return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
         """The pair is its own encoding, so no merge crosses between the two anywhere."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > CACHE:
+            if len(self.pairs) > PIECES:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.window(self.table[left] + self.table[right]) == [left, right]
         return known
@@ -109,24 +120,49 @@ def segments(text: str, cut=regex.compile(r"\S(?=\s)")):
     yield text[at:] if at else text
 
 
+class Memory:
+    """Remembers results in two generations: what is used moves to the young one, the old one is forgotten when that is full."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def __call__(self, key: str) -> bytes:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(key) <= KNOWN:
+                if len(self.young) >= self.size:
+                    self.young, self.old = {}, self.young
+                self.young[key] = found
+        return found
+
+
 class TextEncoder:
-    """Splits texts by the pattern and encodes each match; remembers short pieces."""
+    """Splits texts by the pattern and encodes each match; ids are held as bytes of 32-bit integers.
+
+    No match goes on from a character that is not white space to one that is. So a text falls into runs that start with a
+    space and end before the next space that follows such a character; a run is split by the pattern on its own, and
+    short ones are remembered, like short pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.tree, self.split, self.known = TreeEncoder(ranks), regex.compile(pattern).findall, {}
+        self.tree, self.split = TreeEncoder(ranks), regex.compile(pattern).findall
+        self.piece = Memory(lambda piece: array("i", self.tree.encode(piece.encode())).tobytes(), PIECES)
+        self.run = Memory(lambda run: b"".join(map(self.piece, self.split(run))), RUNS)
 
-    def encode(self, text: str) -> array:
-        out, known = array("i"), self.known
+    def encode(self, text: str) -> bytes:
+        out, run = bytearray(), self.run
         for part in segments(text):
-            for piece in self.split(part):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self.tree.encode(piece.encode())
-                    if len(piece) <= KNOWN:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[piece] = ids
-                out.extend(ids)
+            words = part.split(" ")
+            held = words[0]
+            for word in islice(words, 1, None):
+                if held[-1:].isspace():
+                    held += " " + word
+                else:
+                    out += run.young.get(held) or run(held)
+                    held = " " + word
+            out += run(held)
         return out
 
 
@@ -158,11 +194,11 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder, ends, values = _encoder(shared, pattern), [0], array("i")
+        encoder, ends, values = _encoder(shared, pattern), [0], bytearray()
         for text in texts:
-            values.extend(encoder.encode(text.as_py() or ""))
-            ends.append(len(values))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32()))
+            values += encoder.encode(text.as_py() or "")
+            ends.append(len(values) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -14,6 +15,10 @@ LIBRARY = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, speci
 TREE = op.TreeEncoder(RANKS)
 
 
+def ids_of(text):
+    return np.frombuffer(op.TextEncoder(RANKS, PATTERN).encode(text), np.int32).tolist()
+
+
 def test_every_token_is_its_own_encoding():
     """The leaf rule and the proof of `join` rest on this."""
     sample = random.Random(0).sample(sorted(RANKS), 5000)
@@ -27,17 +32,17 @@ def test_tree_equals_plain_merges(data):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=200))
+@given(st.one_of(st.text(max_size=200), st.text(alphabet=" \n\t\x1c\x85\u00a0\u3000a'sé1.", max_size=60)))
 def test_text_equals_library(text):
     text = text.encode("utf-8", "ignore").decode()
-    assert op.TextEncoder(RANKS, PATTERN).encode(text).tolist() == LIBRARY.encode_ordinary(text)
+    assert ids_of(text) == LIBRARY.encode_ordinary(text)
 
 
 def test_cut_before_white_space(monkeypatch):
     monkeypatch.setattr(op, "SEGMENT", 7)
     text = "It's   a 'll  line\n\n  of 12345 words\t\tand  　 spaces   " * 20
     assert "".join(op.segments(text)) == text and len(list(op.segments(text))) > 20
-    assert op.TextEncoder(RANKS, PATTERN).encode(text).tolist() == LIBRARY.encode_ordinary(text)
+    assert ids_of(text) == LIBRARY.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("table", ["documents"])
