@@ -205,8 +205,10 @@ def codec(spark: SparkSession, path: str, pattern: str):
         tree = _encoder(shared, pattern).tree
         return pa.array([tree.decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in ids], pa.binary())
 
+    once = encode.asNondeterministic()  # else a plan that reads the ids twice would encode twice
+
     def text_ids(column: Column) -> Column:
-        return encode(F.coalesce(column, F.lit("")))
+        return once(F.coalesce(column, F.lit("")))
 
     return text_ids, decode
 
