@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 62  # rank of a pair that does not merge
 LEAF = 16  # bytes encoded without halving
 SEGMENT = 1 << 20  # characters after which a long text is cut at the next white space
-RUNS, PIECES = 200_000, 400_000  # entries of a generation of what a worker remembers; only saves time
+RUNS, PIECES = 60_000, 150_000  # entries of a generation of what a worker remembers; only saves time
 KNOWN = 48  # longest piece remembered
 ORACLE_SQL = None  # merges are iterative; tested against tiktoken and by round trip
 
