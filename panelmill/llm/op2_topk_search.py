@@ -27,7 +27,7 @@ K = 5
 SHARD = 32_768  # vectors in one index
 BLOCK = 512  # queries taken to a shard at a time
 WIDTH = 16  # values in a level
-LOOK = 32  # segments between two tries to stop
+LOOK = 128  # segments between two tries to stop
 FEW = 64  # vectors that may still be members when processing stops
 SCALE = 256
 FOUND = "query_id long, vec_id long, score long"
@@ -57,12 +57,14 @@ class ImpactIndex:
         impact = np.where(weight >= 0, weight * self.high, weight * self.low)
         order = np.argsort(-impact, kind="stable")
         n, floor = len(self.vectors), None
-        total, still = np.zeros(n, np.int64), np.full(n, self.vectors.shape[1], np.int64)
-        total[own] = -(1 << 60)
+        # One number per vector holds its sum, shifted, and the number of dimensions still open: one addition serves both.
+        shift = self.vectors.shape[1].bit_length()
+        state = np.full(n, self.vectors.shape[1], np.int64)
         impacts = impact[order].tolist()
         for step, segment in enumerate(order.tolist()):
             if step % LOOK == 0 and step:
-                bound = total + still * impacts[step]
+                bound = (state >> shift) + (state & ((1 << shift) - 1)) * impacts[step]
+                bound[own] = -(1 << 60)
                 lead = np.argpartition(-bound, min(k, n - 1))[: k + 1] if n > k else np.arange(n)
                 exact = self.vectors[lead] @ query
                 exact = np.sort(exact[~np.isin(lead, own)])[::-1]
@@ -70,11 +72,9 @@ class ImpactIndex:
                     floor = exact[k - 1] if floor is None else max(floor, exact[k - 1])
                     if np.count_nonzero(bound >= floor) <= max(FEW, k):
                         break
-            rows = self.rows[segment]
-            total[rows] += impacts[step]
-            still[rows] -= 1
+            state[self.rows[segment]] += (impacts[step] << shift) - 1
         else:
-            bound = total
+            bound = state >> shift
         members = np.flatnonzero(bound >= floor) if floor is not None else np.arange(n)
         members = members[~np.isin(members, own)]
         return members, self.vectors[members] @ query
