@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from itertools import islice, repeat
+from itertools import chain, islice, repeat
 from operator import add
 
 import numpy as np
@@ -25,10 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NONE = 1 << 62  # rank of a pair that does not merge
+NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge; also the id of a place without a token
 LEAF = 16  # bytes encoded without halving
-SEGMENT = 1 << 20  # characters after which a long text is cut at the next white space
-RUNS, PIECES = 60_000, 150_000  # entries of a generation of what a worker remembers; only saves time
+BLOCK = 1 << 14  # leaves encoded side by side
+SEGMENT = 1 << 20  # characters after which a long text is cut at the next white space, and of a group of texts
+PIECES = 150_000  # entries of a generation of what a worker remembers; only saves time
 KNOWN = 48  # longest piece remembered
 ORACLE_SQL = None  # merges are iterative; tested against tiktoken and by round trip
 
@@ -39,13 +40,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class PairRanks:
+    """Rank of the token that two neighbouring tokens make, for arrays of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        made = [
+            (ranks[token[:at]] << 32 | ranks[token[at:]], rank)
+            for token, rank in ranks.items()
+            for at in range(1, len(token))
+            if token[:at] in ranks and token[at:] in ranks
+        ]
+        keys, values = np.array(sorted(made), np.int64).reshape(-1, 2).T
+        self.keys, self.values = np.append(keys, np.iinfo(np.int64).max), np.append(values, NONE).astype(np.int32)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.values[at], NONE)
+
+
 class TreeEncoder:
-    """Encodes pieces of bytes; `table` maps ids to bytes."""
+    """Encodes pieces of bytes; `table` maps ids to bytes. The leaves of many pieces are encoded side by side."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.table = {rank: token for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.rank = PairRanks(ranks)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = self.rank(self.bytes[:, None], self.bytes)
+
+    def leaves(self, data: list[bytes]) -> list[bytes]:
+        """Ids of strings of at most LEAF bytes: in each round every string merges its lowest rank, leftmost on ties."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))[:, None]
+        chars = np.frombuffer(b"".join(d.ljust(LEAF, b"\0") for d in data), np.uint8).reshape(-1, LEAF)
+        place = np.arange(LEAF)
+        coded = np.where(place < sizes, self.bytes[chars], NONE)
+        scores = np.where(place[1:] < sizes, self.byte_pairs[chars[:, :-1], chars[:, 1:]], NONE)
+        rows, ids = np.arange(len(data)), coded.copy()
+        while True:
+            at = scores.argmin(1)
+            best = scores[np.arange(len(rows)), at]
+            if not (live := best != NONE).all():
+                coded[rows[~live]] = ids[~live]
+                rows, ids, scores, at, best = (x[live] for x in (rows, ids, scores, at, best))
+            if not len(rows):
+                break
+            lane, moved = np.arange(len(rows)), place[:-1] > at[:, None]
+            ids[lane, at] = best
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            scores[:, :-1] = np.where(moved[:, :-1], scores[:, 1:], scores[:, :-1])
+            ids[:, -1] = scores[:, -1] = NONE
+            scores[lane, at] = self.rank(best, ids[lane, at + 1])
+            lane, at, best = lane[at > 0], at[at > 0], best[at > 0]
+            scores[lane, at - 1] = self.rank(ids[lane, at - 1], best)
+        kept = coded != NONE
+        ends, told = (kept.sum(1).cumsum() * 4).tolist(), coded[kept].tobytes()
+        return [told[start:end] for start, end in zip([0, *ends], ends)]
 
     def window(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost on ties."""
@@ -95,14 +146,32 @@ class TreeEncoder:
                 return left[:-i] + middle + right[j:]
             i, j = i * (1 if left_ok else 2), j * (1 if right_ok else 2)
 
-    def encode(self, piece: bytes) -> list[int]:
-        token = self.ranks.get(piece)
-        if token is not None:
-            return [token]
+    def cut(self, piece: bytes) -> list[bytes]:
+        """Leaves of a piece."""
         if len(piece) <= LEAF:
-            return self.window(piece)
+            return [piece]
         middle = len(piece) // 2
-        return self.join(self.encode(piece[:middle]), self.encode(piece[middle:]))
+        return self.cut(piece[:middle]) + self.cut(piece[middle:])
+
+    def reduce(self, piece: bytes, coded: dict[bytes, bytes]) -> list[int]:
+        if len(piece) <= LEAF:
+            return array("i", coded[piece]).tolist()
+        middle = len(piece) // 2
+        return self.join(self.reduce(piece[:middle], coded), self.reduce(piece[middle:], coded))
+
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every piece, as bytes of 32-bit integers."""
+        told = {p: array("i", [self.ranks[p]]).tobytes() for p in pieces if p in self.ranks}
+        open_ = [p for p in pieces if p not in told]
+        needed = list(dict.fromkeys(chain.from_iterable(map(self.cut, open_))))
+        blocks = (self.leaves(needed[at : at + BLOCK]) for at in range(0, len(needed), BLOCK))
+        coded = dict(zip(needed, chain.from_iterable(blocks)))
+        for p in open_:
+            told[p] = coded[p] if len(p) <= LEAF else array("i", self.reduce(p, coded)).tobytes()
+        return [told[p] for p in pieces]
+
+    def encode(self, piece: bytes) -> list[int]:
+        return array("i", self.encode_all([piece])[0]).tolist()
 
     def decode(self, ids) -> bytes:
         level = [b"".join(map(self.table.__getitem__, ids[at : at + 4096])) for at in range(0, len(ids), 4096)] or [b""]
@@ -120,50 +189,53 @@ def segments(text: str, cut=regex.compile(r"\S(?=\s)")):
     yield text[at:] if at else text
 
 
-class Memory:
-    """Remembers results in two generations: what is used moves to the young one, the old one is forgotten when that is full."""
-
-    def __init__(self, make, size: int):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
-
-    def __call__(self, key: str) -> bytes:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.make(key)
-            if len(key) <= KNOWN:
-                if len(self.young) >= self.size:
-                    self.young, self.old = {}, self.young
-                self.young[key] = found
-        return found
-
-
 class TextEncoder:
-    """Splits texts by the pattern and encodes each match; ids are held as bytes of 32-bit integers.
-
-    No match goes on from a character that is not white space to one that is. So a text falls into runs that start with a
-    space and end before the next space that follows such a character; a run is split by the pattern on its own, and
-    short ones are remembered, like short pieces."""
+    """Splits texts by the pattern and encodes the matches of a group of texts together. Short pieces are remembered in two
+    generations: what is used moves to the young one, the old one is forgotten when that is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.tree, self.split = TreeEncoder(ranks), regex.compile(pattern).findall
-        self.piece = Memory(lambda piece: array("i", self.tree.encode(piece.encode())).tobytes(), PIECES)
-        self.run = Memory(lambda run: b"".join(map(self.piece, self.split(run))), RUNS)
+        self.young, self.old = {}, {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """All of the pieces are in the young generation afterwards."""
+        if len(self.young) >= PIECES:
+            self.young, self.old = {}, self.young
+        new = pieces.difference(self.young)
+        self.young.update((piece, self.old[piece]) for piece in new if piece in self.old)
+        fresh = [piece for piece in new if piece not in self.old]
+        self.young.update(zip(fresh, self.tree.encode_all([piece.encode() for piece in fresh])))
+
+    def encode_all(self, texts) -> tuple[bytearray, list[int]]:
+        """The ids of all texts, one after the other, as bytes of 32-bit integers, and how many there are at the end of each."""
+        values, ends, waiting, size = bytearray(), [0], [], 0
+
+        def finish():
+            pieces = set(chain.from_iterable(part for part in waiting if part is not None))
+            self.learn(pieces)
+            for part in waiting:
+                if part is None:
+                    ends.append(len(values) // 4)
+                else:
+                    values.extend(b"".join(map(self.young.__getitem__, part)))
+            for piece in pieces:
+                if len(piece) > KNOWN:
+                    del self.young[piece]
+            waiting.clear()
+
+        for text in texts:
+            for part in segments(text):
+                waiting.append(self.split(part))
+                size += len(part)
+                if size >= SEGMENT:
+                    finish()
+                    size = 0
+            waiting.append(None)  # the text ends here
+        finish()
+        return values, ends
 
     def encode(self, text: str) -> bytes:
-        out, run = bytearray(), self.run
-        for part in segments(text):
-            words = part.split(" ")
-            held = words[0]
-            for word in islice(words, 1, None):
-                if held[-1:].isspace():
-                    held += " " + word
-                else:
-                    out += run.young.get(held) or run(held)
-                    held = " " + word
-            out += run(held)
-        return out
+        return bytes(self.encode_all([text])[0])
 
 
 _ENCODERS: dict[int, TextEncoder] = {}  # one per broadcast and worker
@@ -194,10 +266,7 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        encoder, ends, values = _encoder(shared, pattern), [0], bytearray()
-        for text in texts:
-            values += encoder.encode(text.as_py() or "")
-            ends.append(len(values) // 4)
+        values, ends = _encoder(shared, pattern).encode_all(text.as_py() or "" for text in texts)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
 
     @F.arrow_udf("binary")
