@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 NONE = np.iinfo(np.int32).max  # rank of a pair that does not merge; also the id of a place without a token
 LEAF = 16  # bytes encoded without halving
 BLOCK = 1 << 14  # leaves encoded side by side
-SEGMENT = 1 << 20  # characters after which a long text is cut at the next white space, and of a group of texts
-PIECES = 150_000  # entries of a generation of what a worker remembers; only saves time
+SEGMENT = 1 << 19  # characters after which a long text is cut at the next white space, and of a group of texts
+PIECES = 60_000  # entries of a generation of what a worker remembers; only saves time
 KNOWN = 48  # longest piece remembered
 ORACLE_SQL = None  # merges are iterative; tested against tiktoken and by round trip
 
@@ -259,20 +259,32 @@ class _Shared:
         return self.broadcast.value
 
 
+def _shared_ranks(spark: SparkSession, path: str) -> _Shared:
+    broadcast = spark.sparkContext.broadcast(read_ranks(path))
+    return _Shared(broadcast, broadcast._jbroadcast.id())
+
+
+def _id_lists(encoder: TextEncoder, texts: pa.Array) -> pa.ListArray:
+    values, ends = encoder.encode_all(text.as_py() or "" for text in texts)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+
+
+def _decoded(encoder: TextEncoder, ids: pa.Array) -> pa.Array:
+    decode = encoder.tree.decode
+    return pa.array((decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in ids), pa.binary())
+
+
 def codec(spark: SparkSession, path: str, pattern: str):
     """(encode, decode): functions of columns; texts to array<int>, array<int> to binary."""
-    broadcast = spark.sparkContext.broadcast(read_ranks(path))
-    shared = _Shared(broadcast, broadcast._jbroadcast.id())
+    shared = _shared_ranks(spark, path)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        values, ends = _encoder(shared, pattern).encode_all(text.as_py() or "" for text in texts)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+        return _id_lists(_encoder(shared, pattern), texts)
 
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        tree = _encoder(shared, pattern).tree
-        return pa.array([tree.decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in ids], pa.binary())
+        return _decoded(_encoder(shared, pattern), ids)
 
     once = encode.asNondeterministic()  # else a plan that reads the ids twice would encode twice
 
@@ -283,10 +295,18 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) per row."""
-    encode, decode = codec(docs.sparkSession, path, pattern)
-    rows = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col)).alias("ids"))
-    return rows.select("doc_id", "ids", decode("ids").alias("decoded"))
+    """(doc_id, ids, decoded) per row; one Python worker a task encodes and decodes its ids."""
+    shared = _shared_ranks(docs.sparkSession, path)
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(shared, pattern)
+        ids = _id_lists(encoder, texts)
+        return pa.StructArray.from_arrays([ids, _decoded(encoder, ids)], ["ids", "decoded"])
+
+    coded = both.asNondeterministic()(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), coded.alias("coded"))
+    return rows.select("doc_id", "coded.ids", "coded.decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -65,3 +65,10 @@ def test_edge_rows(spark):
     assert sorted((bytes(r.decoded) for r in got), key=len) == sorted(((t or "").encode() for _, t, _ in rows), key=len)
     assert {tuple(r.ids) for r in got if r.doc_id == 3} == {tuple(LIBRARY.encode_ordinary(long))}
     assert op.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).collect() == []
+
+
+def test_codec_columns(spark):
+    encode, decode = op.codec(spark, PATH, PATTERN)
+    rows = spark.createDataFrame([("A small text",), (None,)], "text string").select(encode(op.F.col("text")).alias("ids"))
+    got = rows.select("ids", decode("ids").alias("decoded")).collect()
+    assert [(list(r.ids), bytes(r.decoded)) for r in got] == [(LIBRARY.encode_ordinary("A small text"), b"A small text"), ([], b"")]
