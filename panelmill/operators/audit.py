@@ -83,7 +83,7 @@ def integrity_audit(bars: DataFrame, macro: DataFrame, articles: DataFrame, stoc
     nulls = lambda df: sum((F.count_if(F.col(c).isNull()) for c in df.columns[1:]), F.count_if(F.col(df.columns[0]).isNull()))
     ok = lambda c: _status(F.col(c) == 0, "WARN")
     value = lambda c: F.col(c)
-    b = panel.date_gaps(bars).drop("_x")
+    b = panel.date_gaps(bars)
     one_b = b.agg(
         sum((F.count_if(F.col(c).isNull()) for c in bars.columns[1:]), F.count_if(F.col(bars.columns[0]).isNull())).alias("nulls"),
         F.count_if((F.col("high") < F.col("low")) | (F.col("close") < 0)).alias("invalid"),

@@ -349,10 +349,6 @@ def resample_weekly(bars: DataFrame, key: str = KEY, order: str = DATE) -> DataF
     )
 
 
-# Names of the window samples.
-TRENDING = ("usd_egp", "gold_local", "sp500", "oil", "gold_intl")
-
-
 def window_samples(
     bars: DataFrame,
     w: int = 5,

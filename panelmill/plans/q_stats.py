@@ -177,9 +177,6 @@ def pivot_mean(t):
     return out.select("ticker", *s6("train", "val", "test"))
 
 
-REPORT_SQL = """SELECT *, abs(endo_dm) > 0 AS x FROM report_v"""
-
-
 @query(
     "d21_group_summary",
     """SELECT coalesce(sector, '*') AS sector, count(*) AS n_tickers, SNAP6(avg(f1_lift)) AS mean_lift, SNAP6(avg(CASE WHEN significant THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS share_significant

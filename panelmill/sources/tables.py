@@ -76,13 +76,3 @@ def write_key_list(df: DataFrame, key: str, path: str) -> str:
     """One key per line."""
     df.select(F.col(key).cast("string").alias("value")).distinct().write.mode("overwrite").text(path)
     return path
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan of fewer splits than cores by `keys`, so that what follows runs on all cores.
-
-    Few splits mean a small input (splits are at most spark.sql.files.maxPartitionBytes), so the extra
-    shuffle is bounded. A large input has splits enough and passes unchanged, to be reduced map-side.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
