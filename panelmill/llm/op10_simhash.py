@@ -172,9 +172,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents with one of each group kept: the smallest doc_id. Equal rows count as one; rows without an id are kept."""
-    gone = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti").dropDuplicates(["doc_id", "text"])
+    """Documents with one of each group kept: the smallest doc_id. Rows of equal doc_id and text count as one, also those without
+    an id. Decisions are made on ids, so texts are compared only where an id occurs more than once."""
+    named = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
+    decided = materialise(named.where("gone OR n > 1").select(F.col("doc_id").alias("decided_id"), F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
+    same = docs.doc_id.eqNullSafe(decided.decided_id)
+    once = docs.join(decided, same, "left_anti")
+    again = docs.join(decided.where("NOT gone"), same, "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
