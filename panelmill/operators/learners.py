@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from panelmill.functions.columns import relative_lift, significant, snap, squared_loss
+from panelmill.functions.columns import relative_lift, snap, squared_loss
 from panelmill.operators import splits, stats
 from panelmill.operators.panel import DATE, KEY
 from panelmill.session import materialise
@@ -22,6 +22,7 @@ BOOSTED = {"maxDepth": 6, "stepSize": 0.03, "maxIter": 1000}
 FOREST = {"numTrees": 500, "maxDepth": 10, "minInstancesPerNode": 4}
 HIST_BOOSTED = {"maxDepth": 8, "stepSize": 0.05, "maxIter": 1000, "maxBins": 256}
 LOGISTIC_C = 0.1
+MIN_TEST_ROWS = 30  # of a tournament window
 WINDOWS = {"Reactionary": 126, "Tactical": 378, "Strategic": 756}
 
 
@@ -168,7 +169,10 @@ def prune_by_target(df: DataFrame, features: list[str], target: str, threshold:
 def walk_forward_tournament(
     df: DataFrame, target: str, feature_sets: dict[str, list[str]], windows: dict[str, int], test: int = 63, c: float = LOGISTIC_C, key: str = KEY
 ) -> DataFrame:
-    """One row per (ticker, window): pooled metrics of two feature sets over walk-forward folds, DM and lift.
+    """One row per (ticker, window): metrics of two feature sets averaged over walk-forward folds, lift, DM and its p-value.
+
+    Metrics are those of each fold, then their mean; the DM statistic pools the test rows of all folds. A training fold with one
+    class gives no fold, and a window with fewer than `MIN_TEST_ROWS` test rows gives no row.
 
     The table is written once, since both fits and the scoring read it. A row carries its features into
     every (window, fold, role); a fit is a group of (ticker, window, fold) with at most window rows.
@@ -181,8 +185,16 @@ def walk_forward_tournament(
     train, scored = rows.filter("role = 'train'"), rows.filter("role = 'test'")
     for name, cols in feature_sets.items():
         scored = score_logistic(scored, fit_logistic_per_key(train, cols, target, keys, c), cols, keys, f"p_{name}")
+    return tournament_report(scored, target, name_a, name_b, key)
+
+
+def tournament_report(scored: DataFrame, target: str, name_a: str, name_b: str, key: str = KEY) -> DataFrame:
+    """The tournament's rows from test rows (key, window, fold, target, p_<a>, p_<b>).
+
+    One aggregate per fold keeps counts and the sums of the loss difference; the means and the pooled statistic follow from those.
+    """
     d = squared_loss(target, f"p_{name_a}") - squared_loss(target, f"p_{name_b}")
-    aggs = [F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("n_folds"), F.avg(d).alias("d_bar"), F.var_samp(d).alias("g0")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(d).alias("d_bar"), F.var_pop(d).alias("d_var")]
     for name in (name_a, name_b):
         hit = F.col(f"p_{name}") > 0.5
         y = F.col(target)
@@ -190,16 +202,23 @@ def walk_forward_tournament(
             F.count_if((y == 1) & hit).alias(f"{name}_tp"), F.count_if((y == 0) & hit).alias(f"{name}_fp"),
             F.count_if((y == 1) & ~hit).alias(f"{name}_fn"), F.count_if((y == 0) & ~hit).alias(f"{name}_tn"),
         ]
-    out = scored.groupBy(key, "window").agg(*aggs)
+    measures = ("f1", "precision", "recall")
+    folds = scored.groupBy(key, "window", "fold").agg(*aggs)
     for name in (name_a, name_b):
         m = stats.metric_columns(*[F.col(f"{name}_{x}") for x in ("tp", "fp", "fn", "tn")])
-        out = out.withColumn(f"{name}_f1", m["f1"])
-    v = F.col("g0") / F.col("n")
-    out = out.withColumn("dm", F.when((F.col("n") >= 10) & (v > 0), F.col("d_bar") / F.sqrt(v)))
+        folds = folds.withColumns({f"{name}_{x}": m[x] for x in measures})
+    means = [F.avg(f"{name}_{x}").alias(f"{name}_{x}") for x in measures for name in (name_a, name_b)]
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("d_bar"))
+    # squares around the pooled mean: inside the folds, and of the folds' means by the differences of pairs of sums
+    squares = F.sum(F.col("n") * F.col("d_var")) + F.sum(F.col("n") * F.col("d_bar") * F.col("d_bar")) - total * total / n
+    out = folds.groupBy(key, "window").agg(n.alias("n"), F.count(F.lit(1)).alias("n_folds"), (total / n).alias("d_bar"), squares.alias("squares"), *means)
+    out = out.filter(F.col("n") >= MIN_TEST_ROWS)
+    v = snap(F.col("squares"), 12) / (F.col("n") - 1) / F.col("n")
+    out = out.withColumn("dm", F.when(v > 0, F.col("d_bar") / F.sqrt(v)))
+    out = out.withColumn("p_value", stats.p_value_t("dm", F.col("n") - 1))
     out = out.withColumn("lift_pct", relative_lift(f"{name_a}_f1", f"{name_b}_f1", "null", 100.0))
-    return out.select(
-        key, "window", "n", "n_folds", f"{name_a}_f1", f"{name_b}_f1", "dm", "lift_pct", significant("dm", "n", "lift_pct").alias("significant")
-    )
+    scores = [f"{name}_{x}" for x in measures for name in (name_a, name_b)]
+    return out.select(key, "window", "n", "n_folds", *scores, "dm", "p_value", "lift_pct", F.coalesce(F.col("p_value") < 0.05, F.lit(False)).alias("significant"))
 
 
 def tournament_winners(report: DataFrame, key: str = KEY) -> DataFrame:

@@ -41,13 +41,15 @@ def embargo_split(df: DataFrame, train: float = 0.70, val: float = 0.10, gap: in
 
 
 def purged_split(df: DataFrame, train: float = 0.72, val: float = 0.08, gap: int = 5, key: str = KEY) -> DataFrame:
-    """As the embargo split, but without the gaps where they would leave no test rows."""
+    """As the embargo split; where the gaps would leave no test rows, validation starts at the end of the training rows, keeps
+    its end, and the test rows follow at once (very short keys have none)."""
     staged = with_positions(df, key)
     a, v = _share(train), _share(val)
     g = F.when(a + gap + v + gap >= F.col("n_rows"), 0).otherwise(gap)
+    b = a + gap + v
     i = F.col("row_no")
     label = (
-        F.when(i <= a, "train").when(i <= a + g, None).when(i <= a + g + v, "val").when(i <= a + g + v + g, None).otherwise("test")
+        F.when(i <= a, "train").when(i <= a + g, None).when(i <= b, "val").when(i <= b + g, None).otherwise("test")
     )
     return staged.withColumn("split", label)
 

@@ -112,12 +112,12 @@ def k10(t):
 @query("k11_walk_forward_tournament")
 def k11(t):
     report = learners.walk_forward_tournament(t.samples, "target", {"endo": ENDO, "exo": EXO}, learners.WINDOWS)
-    return report.select("ticker", "window", "n", "n_folds", *s6("endo_f1", "exo_f1", "dm", "lift_pct"), "significant")
+    return report.select("ticker", "window", "n", "n_folds", *s6("endo_f1", "exo_f1", "endo_precision", "exo_precision", "endo_recall", "exo_recall", "dm", "p_value", "lift_pct"), "significant")
 
 
 @query("k11b_tournament_winners")
 def k11b(t):
-    report = learners.walk_forward_tournament(t.samples, "target", {"endo": ENDO, "exo": EXO}, {"Reactionary": 126, "Tactical": 378})
+    report = learners.walk_forward_tournament(t.samples, "target", {"endo": ENDO, "exo": EXO}, learners.WINDOWS)
     return learners.tournament_winners(report).select("ticker", "window", snap("lift_pct").alias("best_lift_pct"), "significant")
 
 

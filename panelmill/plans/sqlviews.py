@@ -144,8 +144,8 @@ WHERE NOT (ratio BETWEEN 1 - CAST(0.001 AS DOUBLE) AND 1 + CAST(0.001 AS DOUBLE)
 WITH s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY dt) AS row_no, count(*) OVER (PARTITION BY ticker) AS n_rows FROM samples_v),
 a AS (SELECT *, floor(CAST(n_rows AS DOUBLE) * CAST(0.72 AS DOUBLE)) AS tr, floor(CAST(n_rows AS DOUBLE) * CAST(0.08 AS DOUBLE)) AS va FROM s),
 g AS (SELECT *, CASE WHEN tr + 5 + va + 5 >= n_rows THEN 0 ELSE 5 END AS gap FROM a)
-SELECT *, CASE WHEN row_no <= tr THEN 'train' WHEN row_no <= tr + gap THEN NULL WHEN row_no <= tr + gap + va THEN 'val'
-               WHEN row_no <= tr + gap + va + gap THEN NULL ELSE 'test' END AS split FROM g""",
+SELECT *, CASE WHEN row_no <= tr THEN 'train' WHEN row_no <= tr + gap THEN NULL WHEN row_no <= tr + 5 + va THEN 'val'
+               WHEN row_no <= tr + 5 + va + gap THEN NULL ELSE 'test' END AS split FROM g""",
     "score_v": """
 WITH s AS (SELECT ticker, dt, sector, split, row_no, n_rows, target AS y, SNAP9(ret_w0_mean + ret_w1_mean) AS mom, SNAP9(macro_usd_egp_change) AS usd FROM split_v),
 st AS (SELECT ticker, avg(mom) AS mm, SNAP9(stddev_samp(mom)) AS ms, avg(usd) AS um, SNAP9(stddev_samp(usd)) AS us

@@ -121,10 +121,11 @@ def test_splits_are_ordered_and_gapped(spark, n):
     df = bars(spark, [1.0] * n).select("ticker", "dt")
     rows = splits.purged_split(df).orderBy("dt").collect()
     train, val, gap = int(n * 0.72), int(n * 0.08), 5
-    if train + gap + val + gap >= n:
-        gap = 0
-    want = ["train"] * train + [None] * gap + ["val"] * val + [None] * gap
-    want += ["test"] * (n - len(want))
+    if train + gap + val + gap >= n:  # validation takes the place of the first gap, its end stays
+        want = ["train"] * train + ["val"] * (gap + val)
+    else:
+        want = ["train"] * train + [None] * gap + ["val"] * val + [None] * gap
+    want = (want + ["test"] * (n - len(want)))[:n]
     assert [r["split"] for r in rows] == want
 
 

@@ -175,3 +175,28 @@ def test_comparison_needs_a_better_model(spark):
     got = {r["ticker"]: r for r in models.compare_feature_sets(df).collect()}
     assert got["good"]["significant"] and got["good"]["exo_auc"] > 0.99 and got["good"]["dm_stat"] > 0
     assert not got["same"]["significant"] and got["same"]["dm_stat"] is None and got["same"]["f1_lift"] == 0.0
+
+
+def test_tournament_averages_folds(spark):
+    """Two folds of unlike size, by hand: fold means, not pooled counts; p by the pooled statistic; 30 rows at least."""
+    # (fold, label, p_a, p_b, rows). Fold 0: a has tp 4, fp 4, fn 2; b has tp 6, fp 4. Fold 1: a has tp 10, fn 10; b has tp 20.
+    cells = [
+        (0, 1, 0.75, 0.875, 4), (0, 1, 0.25, 0.625, 2), (0, 0, 0.75, 0.625, 4), (0, 0, 0.25, 0.25, 2),
+        (1, 1, 0.75, 0.75, 10), (1, 1, 0.375, 0.625, 10),
+    ]
+    rows = [("x", "w", f, y, a, b) for f, y, a, b, n in cells for _ in range(n)]
+    rows += [("x", "even", 0, 1, 0.75, 0.75)] * 40 + [("x", "short", 0, 1, 0.75, 0.75)] * 29
+    df = spark.createDataFrame(rows, "ticker string, window string, fold int, y int, p_a double, p_b double")
+    out = {r["window"]: r for r in learners.tournament_report(df, "y", "a", "b", "ticker").collect()}
+    assert set(out) == {"w", "even"}
+    r = out["w"]
+    assert (r.n, r.n_folds) == (32, 2)
+    f1 = lambda tp, fp, fn: 2 * tp / (2 * tp + fp + fn)
+    assert r.a_f1 == pytest.approx((f1(4, 4, 2) + f1(10, 0, 10)) / 2) and r.b_f1 == pytest.approx((f1(6, 4, 0) + f1(20, 0, 0)) / 2)
+    assert r.a_precision == pytest.approx((4 / 8 + 1) / 2) and r.b_precision == pytest.approx((6 / 10 + 1) / 2)
+    assert r.a_recall == pytest.approx((4 / 6 + 10 / 20) / 2) and r.b_recall == pytest.approx(1.0)
+    d = np.array([(y - a) ** 2 - (y - b) ** 2 for _, w, _, y, a, b in rows if w == "w"])
+    assert r.dm == pytest.approx(d.mean() / math.sqrt(d.var(ddof=1) / len(d)))
+    assert r.p_value == pytest.approx(stats._student_tail(r.dm, 31)) and r.significant
+    assert r.lift_pct == pytest.approx(100 * (r.b_f1 - r.a_f1) / r.a_f1)
+    assert out["even"].dm is None and out["even"].p_value is None and not out["even"].significant
