@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.session import materialise
@@ -171,15 +171,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+TH = "hash of the text"
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """`docs` with one (doc_id, text) of each group kept: the smallest doc_id, nulls last, then the smallest text hash. `grouped`
+    has (doc_id, th, root) per row. Decisions are made on ids and hashes; texts are compared nowhere."""
+    rows = materialise(grouped.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.sum("n").alias("members")).where("members > 1").drop("members")
+    judged = rows.join(first, "root").select("doc_id", "th", "n", (~order.eqNullSafe(F.col("first"))).alias("gone"))
+    decided = materialise(judged.where("gone OR n > 1").select(F.col("doc_id").alias("decided_id"), F.col("th").alias("decided_th"), "gone"), "decided")
+    columns = docs.columns
+    hashed = docs.withColumn(TH, text_hash())
+    same = hashed.doc_id.eqNullSafe(decided.decided_id) & (hashed[TH] == decided.decided_th)
+    once = hashed.join(decided, same, "left_anti")
+    again = hashed.join(decided.where("NOT gone"), same, "left_semi").dropDuplicates(["doc_id", TH])
+    return once.unionByName(again).select(*(F.col(f"`{c}`") for c in columns))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Documents with one of each group kept: the smallest doc_id. Rows of equal doc_id and text count as one, also those without
-    an id. Decisions are made on ids, so texts are compared only where an id occurs more than once."""
-    named = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
-    decided = materialise(named.where("gone OR n > 1").select(F.col("doc_id").alias("decided_id"), F.coalesce("gone", F.lit(False)).alias("gone")), "decided")
-    same = docs.doc_id.eqNullSafe(decided.decided_id)
-    once = docs.join(decided, same, "left_anti")
-    again = docs.join(decided.where("NOT gone"), same, "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    """Documents with one (doc_id, text) of each group kept: the smallest doc_id. Rows without an id are grouped among themselves:
+    they never remove a document with an id, nor does one remove them."""
+    rows = docs.select(F.struct("doc_id", text_hash().alias("th")).alias("doc_id"), "text")
+    root = F.struct("component_id", F.col("doc_id.doc_id").isNull().alias("unnamed")).alias("root")
+    return keep_one(docs, near_duplicates(rows).select("doc_id.doc_id", "doc_id.th", root))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,13 @@ def test_keep_first(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, FP string")
     kept = sorted((r.doc_id or -1 for r in op.keep_first(df).collect()))
     assert kept == [-1, 1, 6]
+
+
+def test_keep_first_decides_each_text_of_an_id(spark):
+    text = "a text of some words that is long enough to have shingles " * 30
+    near, alone = text + "and", "quite another one that nobody else has written down so far"
+    assert (op.fingerprint(text.encode()) ^ op.fingerprint(near.encode())).bit_count() <= 3
+    rows = [(3, text), (7, alone), (7, near), (8, "two near texts " * 40), (8, "two near texts " * 41), (None, near), (None, text)]
+    kept = op.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "7", "8", "None"]
+    assert {r.text for r in kept if r.doc_id in (3, 7)} == {text, alone}
