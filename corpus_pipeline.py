@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.llm import op3_byte_bpe, op5_decontamination, op6_pii, op9_toxicity, op10_simhash
+from panelmill.llm import near_texts, op3_byte_bpe, op5_decontamination, op6_pii, op9_toxicity
 from panelmill.session import materialise
 
 
@@ -15,8 +15,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
-    return op10_simhash.keep_first(docs)
+    """The document with the smallest id of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    return near_texts.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
