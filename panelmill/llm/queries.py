@@ -15,6 +15,7 @@ NAMES = (
     "op8_license_scan",
     "op9_toxicity",
     "op10_simhash",
+    "op11_mixing",
     "op12_periodic_runs",
     "op13_whitening",
 )
