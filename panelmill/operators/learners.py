@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelmill.functions.columns import relative_lift, snap, squared_loss
 from panelmill.operators import splits, stats
@@ -133,6 +133,17 @@ def score_logistic(df: DataFrame, fits: DataFrame, features: list[str], keys: li
     return joined.withColumn(out, 1 / (1 + F.exp(-z))).drop("mu", "sigma", "coef", "intercept")
 
 
+def logistic_slopes(train: DataFrame, fits: DataFrame, features: list[str], target: str, keys: list[str], c: float = LOGISTIC_C) -> DataFrame:
+    """(keys, n_train, slope): the largest absolute slope of the balanced penalised loss at the coefficients of `fits`, by one aggregate."""
+    scored = score_logistic(train, fits, features, keys, "_p").join(fits.select(*keys, "mu", "sigma", "coef"), keys)
+    ones = F.sum(F.col(target)).over(Window.partitionBy(*keys))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    weighted = scored.withColumn("_r", (F.col("_p") - F.col(target)) * n / (2 * F.when(F.col(target) == 1, ones).otherwise(n - ones)))
+    z = [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.col("mu")[i]) / F.col("sigma")[i] for i, f in enumerate(features)]
+    sums = [(F.sum(F.col("_r") * x) * c + F.first("coef")[i]) for i, x in enumerate(z)] + [F.sum("_r") * c]
+    return weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.greatest(*[F.abs(s) for s in sums]).alias("slope"))
+
+
 def prune_collinear(pairs: list[tuple[str, str, float]], importance: dict[str, float], ties: str = "first") -> list[str]:
     """Features to drop, in order: of each pair not yet hit, the less important one.
 

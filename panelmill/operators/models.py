@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelmill.functions.columns import apply_threshold, relative_lift, significant, snap, squared_loss
-from panelmill.operators import stats
-from panelmill.operators.panel import KEY
+from panelmill.operators import panel, splits, stats, trees
+from panelmill.operators.panel import DATE, KEY
 
 
 def score_and_decide(scores: DataFrame, p: str, share: float = 0.40, key: str = KEY) -> DataFrame:
@@ -67,6 +67,48 @@ def compare_feature_sets(scores: DataFrame, a: str = "endo", b: str = "exo", key
     )
 
 
+# Fewest samples of a ticker, lowest F1 of its baseline; macro series by their treatment.
+MIN_SAMPLES, MIN_BASELINE_F1 = 200, 0.25
+CHANGES = ("usd_egp", "gold_local", "sp500", "oil", "gold_intl")
+LEVELS = ("cbe_rate", "inflation", "vix")
+
+
+def with_p_value(report: DataFrame, dm: str = "dm_stat", n: str = "test") -> DataFrame:
+    """Two-sided p-value of the DM statistic with n - 1 degrees; null without a statistic."""
+    return report.withColumn("p_value", stats.p_value_t(dm, F.col(n) - 1))
+
+
+def run_experiment(
+    bars: DataFrame, macro: DataFrame, settings: trees.Settings = trees.BOOSTED, min_samples: int = MIN_SAMPLES, min_f1: float = MIN_BASELINE_F1,
+    changes: tuple[str, ...] = CHANGES, levels: tuple[str, ...] = LEVELS, key: str = KEY, label: str = "sector",
+) -> DataFrame:
+    """Do macro series improve the weekly direction forecast? One row per ticker: two boosted ensembles on the same window samples, one
+    with the price features only, thresholds at the 40th percentile of validation, metrics, DM with p-value, lift.
+
+    `macro` has one row per date; of the series named in `changes` and `levels` those that it has are used. Tickers with fewer than `min_samples`
+    samples or a baseline F1 below `min_f1` have no row. Bars are shuffled once by ticker: samples, splits, standardisation
+    and both fits share that partitioning.
+    """
+    changes, levels = (tuple(c for c in names if c in macro.columns) for names in (changes, levels))
+    merged = panel.fill_columns(panel.join_macro(trees.spread(bars, key), macro.select(DATE, *changes, *levels)), [*changes, *levels], backfill=True)
+    samples = panel.window_samples(merged, changes=changes, levels=levels)
+    exo = [c for c in samples.columns if c.startswith(("ret_", "cumret_", "vol_change", "macro_"))]
+    endo = [c for c in exo if not c.startswith("macro_")]
+    split = splits.purged_split(samples).filter(F.col("n_rows") >= min_samples)
+    scaled = splits.standardise(split, exo, F.col("split") == "train", key=key)
+    scored = trees.fit_nested_sets(scaled, {"endo": endo, "exo": exo}, "target", key, DATE, settings, keep=(label,))
+    sized = scored.withColumnsRenamed({"target": "y"})
+    # the number of trees is one value a ticker; it travels through the report's aggregate in the label
+    tag = F.struct(label, "trees_endo", "trees_exo").alias("_tag")
+    report = compare_feature_sets(sized.select(key, DATE, "split", "y", *[snap(f"p_{m}", 9).alias(f"p_{m}") for m in ("endo", "exo")], tag), label="_tag")
+    report = with_p_value(report).withColumn("significant", F.coalesce((F.col("p_value") < 0.05) & (F.col("dm_stat") > 0) & (F.col("f1_lift") > 0), F.lit(False)))
+    named = report.select(
+        key, F.col(f"_tag.{label}").alias(label), F.col("_tag.trees_endo").alias("endo_trees"), F.col("_tag.trees_exo").alias("exo_trees"),
+        *[c for c in report.columns if c not in (key, "_tag")],
+    )
+    return eligible_baseline(named, min_f1)
+
+
 def eligible_baseline(report: DataFrame, min_f1: float = 0.25, n_a: str | None = None, n_b: str | None = None) -> DataFrame:
     """Keys with a usable baseline and, where both counts are given, the same rows in both feature sets."""
     out = report.filter(F.col("endo_f1") >= min_f1)
