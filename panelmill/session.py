@@ -56,4 +56,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and read it back: cuts the lineage and survives lost executors."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing reads any more: what was made from them has to be written already."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
