@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.op10_simhash import components, keep_one, text_hash
-from panelmill.session import materialise
+from panelmill.llm.op10_simhash import MARKED, components, keep_one, marked, text_hash
+from panelmill.session import materialise, release
 
 SHINGLE = 5
 SIMILAR = (4, 5)  # at least 4/5
@@ -34,6 +34,7 @@ SAMPLE = 32  # one text in so many is looked at for frequent shingles
 FREQUENT = 3  # sampled texts from which on a shingle is frequent
 LISTED = 500_000  # frequent shingles that are told to the workers: the most frequent ones
 TEXTS = 1_000  # texts whose prefixes make one part of the shingles, on average
+LEAST_CLASSES = 256  # of a sketch
 SEEN = 500_000  # texts that a task remembers, so that equal ones are packed once
 ORACLE_SQL = None  # no engine-independent XXH64; tested against brute force
 
@@ -139,7 +140,8 @@ def _compared(shingle: int, similar: tuple[int, int]):
 
 
 def _sketches(shingle: int):
-    """(th, text) in; (th, n, odd) out: odd has for each of 1024 classes of shingles whether their number is odd."""
+    """(th, text) in; (th, n, odd) out: odd has for each class of shingles whether their number is odd. There are about twice as many classes
+    as shingles, a power of two; the classes of half as many are pairs of these, bit by bit of the first and the second half."""
 
     def run(batches):
         for batch in batches:
@@ -147,10 +149,11 @@ def _sketches(shingle: int):
             for text in batch.column(1).cast(pa.binary()):
                 own = shingles(text.as_py(), shingle)
                 sizes.append(len(own))
-                odd = np.bincount(own & 1023, minlength=1024) & 1
+                classes = max(LEAST_CLASSES, 1 << (2 * len(own) - 1).bit_length())
+                odd = np.bincount(own & (classes - 1), minlength=classes) & 1
                 bits.append(np.packbits(odd.astype(bool)).view(np.int64))
             flat = np.concatenate([np.empty(0, np.int64), *bits])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * 16), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), lists], names=["th", "n", "odd"])
 
     return run
@@ -160,17 +163,26 @@ def _possible(pairs: DataFrame, sketches: DataFrame, similar: tuple[int, int]) -
     """`pairs` without those whose sizes or sketches prove them too different: sets differ in at least as many shingles as sketches in bits."""
     p, q = similar
     first, second = (sketches.select(F.col("th").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}")) for k in ("u", "v"))
-    apart = F.aggregate(F.zip_with("odd_u", "odd_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    fewer = F.least(F.size("odd_u"), F.size("odd_v"))
+    half = lambda a: F.zip_with(F.slice(a, 1, fewer), F.slice(a, fewer + 1, fewer), lambda x, y: x.bitwiseXOR(y))
+    same = lambda a: F.when(F.size(a) > fewer, half(a)).otherwise(F.col(a))  # noqa: E731  sizes within 4/5 differ by one doubling at most
+    apart = F.aggregate(F.zip_with(same("odd_u"), same("odd_v"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
     size = F.col("n_u") + F.col("n_v")
-    near = pairs.join(first, "u").join(second, "v").where((p + q) * F.least("n_u", "n_v") >= p * size).where((p + q) * (size - apart) >= 2 * p * size)
+    sized = pairs.join(first.drop("odd_u"), "u").join(second.drop("odd_v"), "v").where((p + q) * F.least("n_u", "n_v") >= p * size).select("u", "v")
+    near = sized.join(first, "u").join(second, "v").where((p + q) * (size - apart) >= 2 * p * size)
     return near.select("u", "v")
 
 
-def _verified(pairs: DataFrame, held: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """The (u, v) of `pairs` that are similar; `held` has (th, text)."""
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: tuple[int, int], name: str) -> DataFrame:
+    """The (u, v) of `pairs` that are similar. Only texts that are marked as part of a pair are shuffled."""
+    members = pairs.select(F.explode(F.array("u", "v")).alias("th")).distinct()
+    held = marked(texts.select("th", "text"), members, "th").where(F.col(f"`{MARKED}`")).join(members, "th", "left_semi")
+    held = materialise(held.groupBy("th").agg(F.first("text").alias("text")), "held")
     first, second = held.select(F.col("th").alias("u"), F.col("text").alias("x")), held.select(F.col("th").alias("v"), F.col("text").alias("y"))
     both = pairs.join(second, "v").join(first, "u").select("u", "v", "x", "y")
-    return both.mapInArrow(_compared(shingle, similar), "u long, v long")
+    found = materialise(both.mapInArrow(_compared(shingle, similar), "u long, v long"), name)
+    release(held)
+    return found
 
 
 def groups(texts: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -182,26 +194,30 @@ def groups(texts: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] =
     packed = texts.select("th", "text").mapInArrow(_prefixes(shared, parts, shingle, similar), "part int, s array<long>, th array<long>")
     met = materialise(packed.groupBy("part").applyInArrow(_meetings, "s long, th long, least long, most long"), "meetings")
 
-    firsts = texts.groupBy("th").agg(F.min("doc_id").alias("first_id"))
-    firsts = firsts.join(met.select("th").distinct(), "th", "left_semi").withColumnRenamed("th", "first_th")
-    held = texts.join(firsts, (texts.th == firsts.first_th) & texts.doc_id.eqNullSafe(firsts.first_id), "left_semi").select("th", "text")
-    held = materialise(held, "held")  # the same row may stand here more than once
-    sketches = held.mapInArrow(_sketches(shingle), "th long, n int, odd array<long>")
+    sketches = texts.select("th", "text").mapInArrow(_sketches(shingle), "th long, n int, odd array<long>")
+    sketches = sketches.join(met.select("th").distinct(), "th", "left_semi")
     sketches = materialise(sketches.groupBy("th").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "sketches")
 
     tried = met.select("th", F.explode(F.array("least", "most")).alias("centre")).where("th <> centre")
     tried = materialise(tried.select(F.least("th", "centre").alias("u"), F.greatest("th", "centre").alias("v")).distinct(), "tried")
     near = materialise(_possible(tried, sketches, similar), "near")
-    links = materialise(_verified(near, held, shingle, similar).distinct(), "links")
+    links = _verified(near, texts, shingle, similar, "links")
+    release(near)
     roots = components(links, "first_groups")
     placed = met.join(roots, met.th == roots.node, "left").select("s", "th", F.coalesce("root", "th").alias("root"))
     apart = placed.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b AND m > 2").select("s")
     placed = materialise(placed.join(apart, "s"), "apart")
+    release(met, roots)
     x, y = placed.alias("x"), placed.alias("y")
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.th") < F.col("y.th")) & (F.col("x.root") != F.col("y.root")))
     rest = rest.select(F.col("x.th").alias("u"), F.col("y.th").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
     rest = materialise(_possible(rest, sketches, similar), "rest")
-    return components(links.unionByName(_verified(rest, held, shingle, similar).distinct()), "groups")
+    release(placed, tried, sketches)
+    more = _verified(rest, texts, shingle, similar, "more_links")
+    release(rest)
+    found = components(links.unionByName(more), "groups")
+    release(links, more)
+    return found
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import materialise
+from panelmill.session import materialise, release
 
 SHINGLE = 3
 RADIUS = 3
@@ -150,14 +150,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        current = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        before, current = current, materialise(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        release(before)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError(f"{name}: not settled after {rounds} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    table = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    table._folder = current._folder
+    return table
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -171,27 +174,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-TH = "hash of the text"
+TH, MARKED = "hash of the text", "hash is marked"
+MARKS = 1 << 24  # bits in which hashes are marked: at most 262,144 rows that are broadcast, whatever the number of hashes
 
 
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def marked(df: DataFrame, hashes: DataFrame, th: str, marks: int = MARKS) -> DataFrame:
+    """`df` with the column `MARKED`: whether the hash `th` may occur in the column th of `hashes`; false where it surely does not."""
+    words = hashes.select(F.expr(f"pmod(th, {marks}) div 64").alias("word of marks"), F.expr("shiftleft(1L, cast(pmod(th, 64) as int))").alias("bit"))
+    words = words.groupBy("word of marks").agg(F.bit_or("bit").alias("bits of marks"))
+    there = df.join(F.broadcast(words), F.expr(f"pmod(`{th}`, {marks}) div 64") == F.col("word of marks"), "left")
+    hit = F.coalesce(F.expr(f"getbit(`bits of marks`, cast(pmod(`{th}`, 64) as int)) = 1"), F.lit(False))
+    return there.withColumn(MARKED, hit).drop("word of marks", "bits of marks")
+
+
 def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """`docs` with one (doc_id, text) of each group kept: the smallest doc_id, nulls last, then the smallest text hash. `grouped`
-    has (doc_id, th, root) per row. Decisions are made on ids and hashes; texts are compared nowhere."""
+    has (doc_id, th, root) per row. Decisions are made on ids and hashes; texts are compared nowhere, and only rows whose hash is marked as
+    decided on are shuffled."""
     rows = materialise(grouped.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "th")
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.sum("n").alias("members")).where("members > 1").drop("members")
     judged = rows.join(first, "root").select("doc_id", "th", "n", (~order.eqNullSafe(F.col("first"))).alias("gone"))
     decided = materialise(judged.where("gone OR n > 1").select(F.col("doc_id").alias("decided_id"), F.col("th").alias("decided_th"), "gone"), "decided")
+    release(rows)
     columns = docs.columns
-    hashed = docs.withColumn(TH, text_hash())
+    hashed = marked(docs.withColumn(TH, text_hash()), decided.select(F.col("decided_th").alias("th")), TH)
     same = hashed.doc_id.eqNullSafe(decided.decided_id) & (hashed[TH] == decided.decided_th)
-    once = hashed.join(decided, same, "left_anti")
-    again = hashed.join(decided.where("NOT gone"), same, "left_semi").dropDuplicates(["doc_id", TH])
-    return once.unionByName(again).select(*(F.col(f"`{c}`") for c in columns))
+    untouched, touched = hashed.where(~F.col(f"`{MARKED}`")), hashed.where(F.col(f"`{MARKED}`"))
+    once = touched.join(decided, same, "left_anti")
+    again = touched.join(decided.where("NOT gone"), same, "left_semi").dropDuplicates(["doc_id", TH])
+    return untouched.unionByName(once).unionByName(again).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

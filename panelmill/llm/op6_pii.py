@@ -3,8 +3,8 @@
 Positions come from the pattern engine itself: every match is put between marks, the text is split at the marks, and a running
 length gives start and end in code points (end exclusive). Characters of the text that equal a mark are first exchanged for
 another single character that no pattern accepts, so positions stay. A match that fails its check is dropped, with no retry
-inside it. Card groups are made one run first (a separator between digits becomes a mark), so that no pattern repeats a
-group: the engine then needs no recursion however long a run of digits is.
+inside it. Card groups and the labels of a mail address are made one run first (a separator between digits, a dot between label
+characters becomes a mark), so that no pattern repeats a group: the engine then needs no recursion however long a run is.
 
 Kinds: email; ip (parts at most 255); card (14-19 digits, Luhn); phone (10-15 digits); iban (ISO 13616, mod 97).
 Score: a base per kind, more for a passed checksum, more for a context word within 40 characters before the match.
@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK, JOINER, OTHER = "\u0001", "\u0002", "�"
-LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+LOCAL, LABEL = f"[{JOINER}A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+# What becomes a JOINER before the pattern is tried: one character for one.
+JOINED = {"email": rf"(?<={LABEL})\.(?={LABEL})", "card": r"(?<=[0-9])[\x20-](?=[0-9])"}
 # Possessive quantifiers and the look-behind only spare hopeless attempts; the matches are those of the plain patterns.
 PATTERNS = {
-    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)+",
+    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++{JOINER}[{JOINER}{LABEL[1:]}*+",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": rf"(?<![0-9{JOINER}])[0-9][0-9{JOINER}]++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -85,7 +87,7 @@ def confirmed(kind: str, found: Column) -> Column:
 
 def kind_spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind; `text` holds no marks."""
-    source = F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", JOINER) if kind == "card" else text
+    source = F.regexp_replace(text, JOINED[kind], JOINER) if kind in JOINED else text
     marked = F.regexp_replace(source, PATTERNS[kind], f"{MARK}$0{MARK}")
     if kind in NEEDS:
         marked = F.when(F.contains(text, F.lit(NEEDS[kind])), marked).otherwise("")
@@ -139,11 +141,17 @@ def masked(text: Column, found: Column, least: float = 0.5) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with personal data masked and n_chars counted anew; texts without any stay as they are, nulls too."""
-    marked = docs.withColumn("__spans", spans(F.col("text")))
-    text = F.when(F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    changed = marked.withColumn("text", text).withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.drop("__spans")
+    """Documents with personal data masked and n_chars, where there is such a column, counted anew; texts without any stay as they are,
+    nulls too."""
+    own = "spans"
+    while own in docs.columns:
+        own += "_"
+    found = F.col(own)
+    changes = {"text": F.when(F.size(found) > 0, masked(F.col("text"), found)).otherwise(F.col("text"))}
+    changed = docs.withColumn(own, spans(F.col("text"))).withColumns(changes)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.drop(own)
 
 
 def joined(found: Column) -> Column:

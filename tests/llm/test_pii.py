@@ -85,3 +85,21 @@ def test_plan_is_native(spark):
     for df in (op.query(spark, "/root/testdata/sf0.001"), op.redact(docs).select(F.length("text"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_runs_of_labels(spark):
+    long = "mail a@b" + ".c" * 200_000 + ". x@y.zz"
+    assert found(spark, [long, "a@b..c a@b.-c.d..e q.r@s.t.", ".@a.b a.@b.c"]) == {
+        0: ["email:5:400008", "email:400010:400016"],
+        1: brute("a@b..c a@b.-c.d..e q.r@s.t."),
+        2: brute(".@a.b a.@b.c"),
+    }
+
+
+def test_empty_repeated_and_clashing(spark):
+    schema = "doc_id long, text string, spans string, spans_ string, __spans int"
+    assert op.redact(spark.createDataFrame([], schema)).collect() == [] and op.find(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, "write to bob@x.org", "s", "t", 4)] * 3 + [(None, "bob@x.org", None, "u", 5)]
+    got = op.redact(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "spans", "spans_", "__spans"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "write to <EMAIL>", "s", "t", 4)] * 3 + [(None, "<EMAIL>", None, "u", 5)], key=str)

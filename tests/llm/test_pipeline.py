@@ -8,7 +8,8 @@ import tiktoken
 from tiktoken.load import load_tiktoken_bpe
 
 import corpus_pipeline
-from panelmill.llm import op5_decontamination, op6_pii, op9_toxicity, op10_simhash
+from panelmill.llm import op5_decontamination, op6_pii, op9_toxicity
+from tests.llm.test_near_texts import brute as near_brute
 
 SOURCE = "/root/testdata/sf0.001"
 ITEM = "the careful archivist counted seventeen copper lanterns beside the northern gate before the evening bell rang twice"
@@ -44,20 +45,8 @@ def brute(spark, folder):
     model = op9_toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     docs = {d: t for d, t in docs.items() if model.above(t)[0] <= op9_toxicity.REJECT}
 
-    marks, root = {d: op10_simhash.fingerprint(t.encode()) for d, t in docs.items()}, {d: d for d in docs}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    ids = list(docs)
-    for i, d in enumerate(ids):
-        for e in ids[:i]:
-            if (marks[d] ^ marks[e]).bit_count() <= 3:
-                a, b = sorted((find(d), find(e)))
-                root[b] = a
-    docs = {d: t for d, t in docs.items() if find(d) == d}
+    roots, ordered = near_brute(list(docs.items()))
+    docs = dict(ordered[i] for i in roots)
 
     items = [(r.item_id, op5_decontamination.normal(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if (r.text or "").strip()]
 
@@ -107,3 +96,21 @@ def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SOURCE}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_ids_and_clashing_names(spark, folder, tmp_path):
+    """Rows without an id stay unless they copy another text; further columns, also of names the stages use, stay as they are."""
+    text = "nobody else has written these words about the old mill by the river down here today"
+    rows = [(None, text, 1, "a"), (None, "some other words without an id at all", 2, "b"), (5, text, 3, "c"), (6, None, 4, "d"), (7, "", 5, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int, th string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "root", "th"], name
+    kept = {(r.doc_id, r.text, r.root, r.th) for r in docs.collect()}
+    assert kept == {(5, text, 3, "c"), (None, "some other words without an id at all", 2, "b"), (6, None, 4, "d")}
