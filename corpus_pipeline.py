@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity),
-    ("simhash_near_duplicates", near_duplicates),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("personal_data", personal_data),
     ("byte_bpe", tokens),
