@@ -157,7 +157,7 @@ SELECT z.ticker, z.dt, sector, split, row_no, n_rows, y, SNAP9(1 / (1 + exp(-zm)
        SNAP9(1 / (1 + exp(-(zm + CAST(0.5 AS DOUBLE) * zu)))) AS p_exo, SNAP9(fr) AS fwd_ret
 FROM z JOIN f ON z.ticker = f.ticker AND z.dt = f.dt""",
     "articles_v": """
-SELECT d.doc_id AS seq, left(split_part(text, chr(10), 1), 80) AS title, text,
+SELECT d.doc_id AS seq, split_part(text, chr(10), 1) AS title, text,
        concat('https://', source, '.example/', CAST(d.doc_id % 450 AS VARCHAR)) AS url, lang,
        CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'neutral' END AS sentiment,
        DATE '1996-01-01' + CAST(d.doc_id % 200 AS INT) AS dt

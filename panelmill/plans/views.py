@@ -143,7 +143,7 @@ class Tables:
         d, l = self.read("documents"), self.read("labels")
         return d.join(l, "doc_id", "left").select(
             F.col("doc_id").alias("seq"),
-            F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"),
+            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
             "text",
             F.concat(F.lit("https://"), "source", F.lit(".example/"), (F.col("doc_id") % 450).cast("string")).alias("url"),
             "lang",
