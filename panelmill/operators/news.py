@@ -176,7 +176,8 @@ def recent(df: DataFrame, day: Column, cutoff: Column, keep_undated: bool) -> Da
 
 
 def dedupe_url(articles: DataFrame, url: str = "url", text: str = "text", sequence: str = "seq") -> DataFrame:
-    """One row per URL: the longest text, the first of equally long ones; rows without a URL go.
+    """One row per URL: the longest text, the first of equally long ones; rows without a URL go. `first_seq` is the smallest sequence of the
+    URL: a later step that orders by text length settles equal lengths by where a URL came first.
 
     A map-side combined arg-max, so a URL with a third of all rows is reduced before the shuffle.
     """
@@ -185,8 +186,8 @@ def dedupe_url(articles: DataFrame, url: str = "url", text: str = "text", sequen
     best = F.struct(F.length(F.coalesce(text, F.lit(""))), -F.col(sequence))
     return (
         rows.groupBy(key.alias("_url"))
-        .agg(F.max_by(F.struct(*articles.columns), best).alias("_row"))
-        .select("_row.*")
+        .agg(F.max_by(F.struct(*articles.columns), best).alias("_row"), F.min(sequence).alias("first_seq"))
+        .select("_row.*", "first_seq")
     )
 
 

@@ -225,7 +225,7 @@ def l12(t):
 @query("l13_dedupe_news")
 def l13(t):
     by_url = news.dedupe_url(t.articles)
-    kept = neardup.dedupe_titles(by_url)
+    kept = neardup.dedupe_titles(by_url, sequence="first_seq")
     n = lambda df, step: df.agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("n"))
     return n(t.articles, "original").union(n(by_url, "unique url")).union(n(kept, "unique title"))
 
