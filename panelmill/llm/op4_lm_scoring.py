@@ -1,18 +1,25 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Every training document is counted: words (with one end per document) exactly, and pairs of neighbouring words. A pair's
-count is quantised to a level, floor(log2(count)) + 1, and the pair enters the filter once for each level up to its own. A
-lookup probes level after level until one is missing; the levels found give the count back within a factor of two. The filter
-is broadcast; the smoothed probability mixes the pair's relative frequency with the word's add-one frequency.
+Every training document is counted: words (with one end per document) exactly, and, by 64-bit hash, words and pairs of neighbouring
+words for the filter. A count is quantised to a level: the number of thresholds 1, 2, 3, 4, 6, 8, 12, ... that it reaches. A key
+enters the filter once for each level up to its own; a lookup probes level after level until one is missing. The level gives
+the threshold reached, at most the count and more than two thirds of it.
 
-Bounds. The filter has a fixed number of bits, and words are numbered only for the `WORDS` most frequent ones (ties by
-word) and the end, which are broadcast too; for pairs, other words are one class. The lowest level that is stored is the smallest at
-which all entries of that level and above fit the filter with `BITS_EACH` bits per entry. It follows from the counts of all
-pairs: the same rule at every size. Rarer pairs back off to the word. Words outside the numbered ones keep their exact counts in
-a table that meets the texts' rare words in a join; Spark splits hot keys there, and the hottest words never enter it.
+Size. Every pair of the training texts is stored, whatever its count: `BITS_EACH` bits an entry, so the filter grows with the
+corpus. It is made of slices by hash range, each sized by its own entries and built in one group from at most about `SLICE` tokens'
+counts. Slices are broadcast together up to `PASS` bytes. A larger filter takes several passes over the texts: each
+broadcasts the next slices, adds the levels found there to a column of one byte a key, writes the table and frees its broadcast,
+so the memory of driver and workers stays the same at every size.
 
-base = sum over tokens of log10((c + 1) / (N + V + 1)); score = log10 probability of the text under the mixed model, where a rare
-word has the probability of the class times its share of the class by add-one frequency.
+base = sum over tokens of log10((c + 1) / (N + V + 1)), from exact counts: the `WORDS` most frequent words are broadcast with theirs,
+the others meet the table of counts in a join. score = log10 probability of the text under the model
+
+    P(w | h) = MIX * q(h, w) / u(h) + (1 - MIX) * (q(w) + 1) / (N + V + 1),
+
+where q is the threshold a count reaches and u(h) the largest count of h's level; contexts that were not trained give the last factor
+alone. Since q never exceeds the count and u never falls below it, the probabilities after any h sum to one at most. False
+positives of the filter are the only exception: an unseen pair is taken for one seen once, at a rate of about one in a hundred; a
+pair's level is cut to those of its two words.
 
 Edge cases: a null or empty text is one end. A null id counts as an empty one for the split. Repeated rows are documents of
 their own, each with its own result row. Without training documents all counts are 0. An empty table gives no rows. Other
@@ -27,21 +34,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import materialise
+from panelmill.session import materialise, release
 
-WORDS = 100_000  # numbered words
-FILTER_BITS = 1 << 26
-BITS_EACH = 10
-PROBES = 6  # bits per entry, all in one block of 512
-SLICES = 64  # parts of the filter that are built on their own
+WORDS = 100_000  # words that are broadcast with their exact counts
+SLICE = 1 << 19  # training tokens to a slice of the filter
+PASS = 96 << 20  # bytes of the filter that are broadcast at a time
+BITS_EACH = 12
+PROBES = 7  # bits per entry, all in one block of 512
 MIX = 0.7  # weight of the pair's frequency
 FLUSH = 300_000  # distinct words or pairs held before they are handed on
 TOKENS = 400_000  # tokens scored at a time
+THRESHOLDS = np.array([1.0] + [x for k in range(1, 60) for x in (2.0**k, 1.5 * 2.0**k)])
 END = "\x20"  # no word holds a space
-ORACLE_SQL = None  # the filter is not SQL; base and counts are tested against a plain count
+ORACLE_SQL = None  # the filter is not SQL; base, counts and score are tested against a plain model
 
 
 def held_out(ident: Column) -> Column:
@@ -78,51 +87,74 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def entry_hash(pairs: np.ndarray, level: int) -> np.ndarray:
-    return _mixed(pairs.view(np.uint64) ^ _mixed(np.array([level], np.uint64)))
+class Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((self[w] for w in words), np.uint64, len(words))
+
 
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(before) + words)
 
-def _bits(entries: np.ndarray, probes: int):
-    """(block, bit in the block) of each probe of entry hashes."""
-    inner = _mixed(entries)
-    for i in range(probes):
-        yield (inner >> np.uint64(9 * i)) & np.uint64(511)
+
+def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
+
+def _places(keys: np.ndarray, level: int, first, blocks):
+    """The place of each probe of the keys at a level, in bits; `first` and `blocks` say which blocks the keys' slice has."""
+    inner = _mixed(keys ^ _mixed(np.array([level], np.uint64)))
+    block = first + (((_mixed(inner) >> np.uint64(32)) * blocks) >> np.uint64(32))
+    for i in range(PROBES):
+        yield (block * np.uint64(512) + ((inner >> np.uint64(9 * i)) & np.uint64(511))).astype(np.int64)
+
+
+@dataclass
+class Filter:
+    """Neighbouring slices of the filter; at most PASS bytes, or one slice."""
+
+    slices: int  # of the whole filter
+    start: int
+    firsts: np.ndarray  # first block of each slice held, and the end
+    bits: np.ndarray  # bytes
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key; 0 for keys of other slices."""
+        part, out = _slice_of(keys, self.slices).astype(np.int64) - self.start, np.zeros(len(keys), np.uint8)
+        left, level = np.flatnonzero((part >= 0) & (part < len(self.firsts) - 1)), 1
+        while len(left):
+            first = self.firsts[part[left]]
+            found = np.ones(len(left), bool)
+            for at in _places(keys[left], level, first, self.firsts[part[left] + 1] - first):
+                found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            left = left[found]
+            out[left] = level
+            level += 1
+        return out
 
 
 @dataclass
 class Model:
-    """Everything that scoring needs on a worker; bounded by WORDS and FILTER_BITS."""
+    """What scoring needs on a worker besides the filter; bounded by WORDS."""
 
     words: dict[bytes, int]  # numbered words; the end is one of them unless nothing was trained
-    counts: np.ndarray  # by number; the last is the class of all others
+    counts: np.ndarray  # by number; the last is that of all others
     total: int  # N
     distinct: int  # V
-    lowest: int
-    bits: np.ndarray  # bytes of the filter
+    filters: DataFrame  # (part, bits)
+    sizes: list[int]  # bytes of each slice
 
     @property
     def floor(self) -> int:
         return self.total + self.distinct + 1
 
-    def contains(self, pairs: np.ndarray, level: int) -> np.ndarray:
-        """One membership probe of each pair at a level."""
-        entries = entry_hash(pairs, level)
-        block = (entries % np.uint64(len(self.bits) // 64)) * np.uint64(512)
-        found = np.ones(len(pairs), bool)
-        for bit in _bits(entries, PROBES):
-            at = block + bit
-            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return found
-
-    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Estimated counts: level after level until one is missing."""
-        level, out, open_ones = self.lowest, np.zeros(len(pairs)), np.arange(len(pairs))
-        while len(open_ones):
-            open_ones = open_ones[self.contains(pairs[open_ones], level)]
-            out[open_ones] = 1.5 * 2.0 ** (level - 1) if level > 1 else 1.0
-            level += 1
-        return out
-
     def numbered(self, words: list[bytes]) -> np.ndarray:
         get, other = self.words.get, len(self.counts) - 1
         return np.fromiter((get(w, other) for w in words), np.int64, len(words))
@@ -130,29 +162,45 @@ class Model:
     def base(self, numbers: np.ndarray) -> np.ndarray:
         return np.log10((self.counts[numbers] + 1) / self.floor)
 
-    def scores(self, before: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """log10 P(class | class before) per token."""
-        keys, where = np.unique(before << 32 | numbers, return_inverse=True)
-        seen, context = self.pair_counts(keys), self.counts[keys >> 32]
-        share = np.minimum(1.0, seen / np.maximum(1, context))
-        alone = (self.counts[keys & 0xFFFFFFFF] + 1) / self.floor
-        return np.log10(MIX * share + (1 - MIX) * alone)[where]
-
-
-def _count_pairs(shared):
+    def passes(self, limit: int = PASS):
+        """The filter's slices in order, as many at a time as the limit holds."""
+        start = 0
+        while start < len(self.sizes):
+            end = start + 1
+            while end < len(self.sizes) and sum(self.sizes[start : end + 1]) <= limit:
+                end += 1
+            firsts = np.cumsum([0] + self.sizes[start:end]) // 64
+            bits = np.zeros(int(firsts[-1]) * 64, np.uint8)
+            for row in self.filters.where(F.col("part").between(start, end - 1)).toLocalIterator():
+                at = int(firsts[row.part - start]) * 64
+                bits[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+            yield Filter(len(self.sizes), start, firsts.astype(np.uint64), bits), end == len(self.sizes)
+            start = end
+
+
+def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, floor: int) -> np.ndarray:
+    """P(w | h) from the levels of the pair, h and w."""
+    reached = np.concatenate(([0.0], THRESHOLDS))
+    alone = (reached[word] + 1) / floor
+    share = reached[np.minimum(pair, np.minimum(context, word))] / np.maximum(1, reached[context + 1] - 1)
+    return np.where(context > 0, MIX * share + (1 - MIX) * alone, alone)
+
+
+def _count_keys(slices: int):
     def run(batches):
-        model, held, size = shared.value, [], 0
-        end = model.words.get(END.encode(), len(model.counts) - 1)
+        hashes, held, size = Hashes(), [], 0
+        end = np.uint64(hashes[END.encode()])
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "c"])
+            part = _slice_of(keys, slices).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys.view(np.int64)), pa.array(counts)], names=["part", "key", "c"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                numbers = np.append(model.numbered(tokens(text.as_py())), end)
-                held.append(np.concatenate(([end], numbers[:-1])) << 32 | numbers)
-                size += len(numbers)
+                words = np.append(hashes.of(tokens(text.as_py())), end)
+                held += [pair_keys(np.concatenate(([end], words[:-1])), words), words]
+                size += 2 * len(words)
                 if size > 20 * FLUSH:
                     yield flush()
                     held, size = [], 0
@@ -162,54 +210,28 @@ def _count_pairs(shared):
     return run
 
 
-def _entries(lowest: int, blocks: int):
-    """(pair, level) in; (slice, hash) of each level that is stored out."""
-
-    def run(batches):
-        for batch in batches:
-            pairs, levels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = [entry_hash(pairs[levels >= level], level) for level in range(lowest, int(levels.max(initial=0)) + 1)]
-            hashes = np.concatenate([np.empty(0, np.uint64), *parts])
-            part = (hashes % np.uint64(blocks)) * np.uint64(SLICES) // np.uint64(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["part", "hash"])
-
-    return run
+def _slice(key, table):
+    """The counts of a slice's keys in; its bytes out."""
+    keys, where = np.unique(table["key"].to_numpy().view(np.uint64), return_inverse=True)
+    levels = np.searchsorted(THRESHOLDS, np.bincount(where, table["c"].to_numpy()), side="right")
+    blocks = max(1, -(-int(levels.sum()) * BITS_EACH // 512))
+    flags = np.zeros(blocks * 512, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for at in _places(keys[levels >= level], level, np.uint64(0), np.uint64(blocks)):
+            flags[at] = True
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
 
-def _slice(blocks: int):
-    """The entries of a slice in (their number is bounded by the filter's bits); its bytes out."""
-    edges = [-(-i * blocks // SLICES) for i in range(SLICES + 1)]
+def build_filter(texts: DataFrame, total: int, slice_tokens: int = SLICE) -> tuple[DataFrame, list[int]]:
+    """(table of the slices, their sizes in bytes) from a one-column table of texts with so many tokens."""
+    slices = max(1, -(-total // slice_tokens))
+    counted = texts.mapInArrow(_count_keys(slices), "part int, key long, c long")
+    table = materialise(counted.groupBy("part").applyInArrow(_slice, "part int, bits binary"), "filter")
+    found = {r.part: r.n for r in table.select("part", F.length("bits").alias("n")).collect()}  # one short row a slice
+    return table, [found.get(i, 64) for i in range(slices)]
 
-    def run(key, table):
-        part = key[0].as_py()
-        flags = np.zeros((edges[part + 1] - edges[part]) * 512, bool)
-        hashes = table["hash"].to_numpy().view(np.uint64)
-        block = (hashes % np.uint64(blocks) - np.uint64(edges[part])) * np.uint64(512)
-        for bit in _bits(hashes, PROBES):
-            flags[(block + bit).astype(np.int64)] = True
-        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    return run
-
-
-def build_filter(pairs: DataFrame, bits: int = FILTER_BITS) -> tuple[int, np.ndarray]:
-    """(lowest stored level, bytes of the filter) from (pair, c)."""
-    levels = pairs.select("pair", (F.floor(F.log2("c")) + 1).cast("int").alias("level"))
-    sizes = dict(levels.groupBy("level").count().collect())  # one row per power of two
-    lowest = max(1, max(sizes, default=1))
-    entries = lambda low: sum(n * (level - low + 1) for level, n in sizes.items() if level >= low)
-    while lowest > 1 and entries(lowest - 1) * BITS_EACH <= bits:
-        lowest -= 1
-    blocks = bits // 512
-    stored = levels.where(F.col("level") >= lowest).mapInArrow(_entries(lowest, blocks), "part int, hash long")
-    flags = np.zeros(bits // 8, np.uint8)
-    edges = [-(-i * blocks // SLICES) * 64 for i in range(SLICES + 1)]
-    for row in stored.groupBy("part").applyInArrow(_slice(blocks), "part int, bits binary").collect():
-        flags[edges[row.part] : edges[row.part + 1]] = np.frombuffer(row.bits, np.uint8)
-    return lowest, flags
-
-
-def train(texts: DataFrame, words: int = WORDS, bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, words: int = WORDS, slice_tokens: int = SLICE) -> tuple[Model, DataFrame]:
     """The model of a one-column table of texts, and the exact counts (word binary, c) of all words."""
     counted = materialise(texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -217,50 +239,76 @@ def train(texts: DataFrame, words: int = WORDS, bits: int = FILTER_BITS) -> tupl
     if total and all(bytes(r.word) != END.encode() for r in frequent):
         frequent += counted.where(F.col("word") == F.lit(END).cast("binary")).collect()  # the end is numbered whatever its rank
     counts = np.array([r.c for r in frequent] + [total - sum(r.c for r in frequent)], np.int64)
-    model = Model({bytes(r.word): i for i, r in enumerate(frequent)}, counts, total, distinct, 1, np.zeros(64, np.uint8))
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    pairs = materialise(texts.mapInArrow(_count_pairs(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")), "pairs")
-    model.lowest, model.bits = build_filter(pairs, bits)
-    return model, counted
+    return Model({bytes(r.word): i for i, r in enumerate(frequent)}, counts, total, distinct, *build_filter(texts, total, slice_tokens)), counted
+
+
+def _chunks(batch):
+    """(rows, ids, texts, levels found so far, words of each text) for so many texts at a time as hold TOKENS tokens."""
+    texts, at = batch.column(2).cast(pa.binary()), 0
+    while at < len(texts):
+        start, words, sizes = at, [], []
+        while at < len(texts) and len(words) < TOKENS:
+            found = tokens(texts[at].as_py())
+            words += found
+            words.append(END.encode())
+            sizes.append(len(found) + 1)
+            at += 1
+        seen = batch.column(3).slice(start, at - start)
+        yield batch.slice(start, at - start), words, np.array(sizes), None if seen.null_count else [np.frombuffer(x.as_py(), np.uint8) for x in seen]
+
+
+def _look(part: Filter, hashes: Hashes, words: list[bytes], sizes: np.ndarray, seen) -> np.ndarray:
+    """Levels of the pairs (first row) and the words (second) of all texts: those found in these slices, and those seen before."""
+    own = hashes.of(words)
+    before = np.concatenate((own[:1], own[:-1]))
+    before[np.cumsum(sizes) - sizes] = hashes[END.encode()]
+    keys, where = np.unique(np.concatenate((pair_keys(before, own), own)), return_inverse=True)
+    levels = part.levels(keys)[where].reshape(2, -1)
+    return levels if seen is None else levels + np.concatenate([x.reshape(2, -1) for x in seen], axis=1)
+
+
+def _probe(shared):
+    """(row, doc_id, text, levels) in and out, with the levels of this pass's slices added."""
+
+    def run(batches):
+        hashes = Hashes()
+        for batch in batches:
+            for rows, words, sizes, seen in _chunks(batch):
+                levels = _look(shared.value, hashes, words, sizes, seen)
+                each = [x.tobytes() for x in np.split(levels, np.cumsum(sizes)[:-1], axis=1)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(each, pa.binary())], names=["row", "doc_id", "text", "levels"])
+
+    return run
 
 
 ROWS = "row long, doc_id {}, word binary, times long, n_tokens long, n_known long, base double, score double"
 
 
-def _score(shared):
-    """(row, doc_id, text) in; per text one row with what the numbered words give, and one per distinct other word with its frequency."""
+def _score(shared, last):
+    """(row, doc_id, text, levels) in; per text one row with its score and what the numbered words give, and one per distinct other word with its frequency."""
 
     def run(batches):
-        model = shared.value
-        other, log_class = len(model.counts) - 1, float(np.log10((model.counts[-1] + 1) / model.floor))
-        end = model.words.get(END.encode(), other)
-        end_known = model.total > 0
+        words_of, counts, total, distinct = shared.value
+        model, hashes = Model(words_of, counts, total, distinct, None, []), Hashes()
+        other, end_known = len(counts) - 1, total > 0
         for batch in batches:
-            texts, at = batch.column(2).cast(pa.binary()), 0
-            while at < len(texts):
-                rows, idents, words, sizes = [], [], [], []
-                while at < len(texts) and len(words) < TOKENS:
-                    found = tokens(texts[at].as_py())
-                    found.append(END.encode())
-                    rows.append(batch.column(0)[at].as_py())
-                    idents.append(batch.column(1)[at].as_py())
-                    words += found
-                    sizes.append(len(found))
-                    at += 1
+            for rows, words, sizes, seen in _chunks(batch):
+                starts = np.cumsum(sizes) - sizes
+                levels = _look(last.value, hashes, words, sizes, seen).astype(np.int64)
+                context = np.concatenate((levels[1][:1], levels[1][:-1]))
+                context[starts] = levels[1][starts + sizes - 1]  # the end's own level
+                score = np.log10(probability(levels[0], context, levels[1], model.floor))
                 numbers = model.numbered(words)
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                before = np.concatenate(([end], numbers[:-1]))
-                before[starts] = end
                 rare = numbers == other
                 if not end_known:
                     rare[np.cumsum(sizes) - 1] = False  # nothing was trained: the end has count 0
                 base = np.where(rare, 0.0, model.base(numbers) if end_known else math.log10(1 / model.floor))
-                score = model.scores(before, numbers) - np.where(rare, log_class, 0.0)
                 known = (~rare) & end_known
                 sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, score)]
-                main = [(r, d, b"\x20%d" % r, 1, n, int(k), float(b), float(s)) for r, d, n, k, b, s in zip(rows, idents, sizes, *sums, strict=True)]
+                numbered = rows.column(0).to_pylist()
+                main = [(r, d, b"\x20%d" % r, 1, int(n), int(k), float(b), float(s)) for r, d, n, k, b, s in zip(numbered, rows.column(1).to_pylist(), sizes, *sums, strict=True)]
                 place = np.searchsorted(starts, np.flatnonzero(rare), side="right") - 1
-                repeats = Counter((rows[p], words[i]) for p, i in zip(place.tolist(), np.flatnonzero(rare).tolist(), strict=True))
+                repeats = Counter((numbered[p], words[i]) for p, i in zip(place.tolist(), np.flatnonzero(rare).tolist(), strict=True))
                 main += [(r, None, w, n, 0, 0, 0.0, 0.0) for (r, w), n in repeats.items()]
                 kinds = (pa.int64(), batch.column(1).type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 columns = [pa.array(c, k) for c, k in zip(zip(*main, strict=True), kinds, strict=True)]
@@ -269,12 +317,24 @@ def _score(shared):
     return run
 
 
-def score(docs: DataFrame, model: Model, counted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, counted: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = PASS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    parts = rows.mapInArrow(_score(shared), ROWS.format(kind))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((model.words, model.counts, model.total, model.distinct))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("binary").alias("levels")
+    )
+    kind, written = docs.select(id_col).schema[0].dataType.simpleString(), None
+    for part, last in model.passes(limit):
+        sent = context.broadcast(part)
+        if last:
+            break
+        before, written = written, materialise(rows.mapInArrow(_probe(sent), rows.schema), "levels")
+        sent.unpersist()
+        if before is not None:
+            release(before)
+        rows = written
+    parts = rows.mapInArrow(_score(shared, sent), ROWS.format(kind))
     met = parts.join(counted, "word", "left")
     rare = F.substring("word", 1, 1) != F.lit(END).cast("binary")
     log = F.when(rare, F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(model.floor))).otherwise(0.0)
@@ -283,7 +343,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, id_col: str = "doc_
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(rare & (F.coalesce("c", F.lit(0)) > 0), F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + log).alias("base_score"),
-        F.sum(F.col("score") + log).alias("score"),
+        F.sum("score").alias("score"),
     )
     return summed.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
