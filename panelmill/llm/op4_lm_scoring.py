@@ -18,7 +18,7 @@ the others meet the table of counts in a join. score = log10 probability of the
 
 where q is the threshold a count reaches and u(h) the largest count of h's level; contexts that were not trained give the last factor
 alone. Since q never exceeds the count and u never falls below it, the probabilities after any h sum to one at most. False
-positives of the filter are the only exception: an unseen pair is taken for one seen once, at a rate of about one in a hundred; a
+positives of the filter are the only exception: an unseen pair is taken for one seen once, at a rate of a few in a hundred; a
 pair's level is cut to those of its two words.
 
 Edge cases: a null or empty text is one end. A null id counts as an empty one for the split. Repeated rows are documents of
@@ -43,11 +43,11 @@ from panelmill.session import materialise, release
 WORDS = 100_000  # words that are broadcast with their exact counts
 SLICE = 1 << 19  # training tokens to a slice of the filter
 PASS = 96 << 20  # bytes of the filter that are broadcast at a time
-BITS_EACH = 12
-PROBES = 7  # bits per entry, all in one block of 512
+BITS_EACH = 10
+PROBES = 4  # bits per entry, all in one word of 64
 MIX = 0.7  # weight of the pair's frequency
 FLUSH = 300_000  # distinct words or pairs held before they are handed on
-TOKENS = 400_000  # tokens scored at a time
+TOKENS = 150_000  # tokens scored at a time
 THRESHOLDS = np.array([1.0] + [x for k in range(1, 60) for x in (2.0**k, 1.5 * 2.0**k)])
 END = "\x20"  # no word holds a space
 ORACLE_SQL = None  # the filter is not SQL; base, counts and score are tested against a plain model
@@ -108,12 +108,14 @@ def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-def _places(keys: np.ndarray, level: int, first, blocks):
-    """The place of each probe of the keys at a level, in bits; `first` and `blocks` say which blocks the keys' slice has."""
-    inner = _mixed(keys ^ _mixed(np.array([level], np.uint64)))
-    block = first + (((_mixed(inner) >> np.uint64(32)) * blocks) >> np.uint64(32))
+def _places(keys: np.ndarray, level: int, first, words):
+    """(word, bits in it) of the keys' entries at a level; `first` and `words` say which words the keys' slice has."""
+    inner = _mixed(keys ^ _mixed(_mixed(np.array([level], np.uint64))))
+    at = first + (((inner >> np.uint64(32)) * words) >> np.uint64(32))
+    mask, one, low = np.zeros(len(keys), np.uint64), np.uint64(1), np.uint64(63)
     for i in range(PROBES):
-        yield (block * np.uint64(512) + ((inner >> np.uint64(9 * i)) & np.uint64(511))).astype(np.int64)
+        mask |= one << ((inner >> np.uint64(6 * i)) & low)
+    return at.astype(np.int64), mask
 
 
 @dataclass
@@ -122,19 +124,21 @@ class Filter:
 
     slices: int  # of the whole filter
     start: int
-    firsts: np.ndarray  # first block of each slice held, and the end
-    bits: np.ndarray  # bytes
+    firsts: np.ndarray  # first word of each slice held, and the end
+    bits: bytearray  # read back without a copy
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key; 0 for keys of other slices."""
-        part, out = _slice_of(keys, self.slices).astype(np.int64) - self.start, np.zeros(len(keys), np.uint8)
+        words, out = np.frombuffer(self.bits, np.uint64), np.zeros(len(keys), np.uint8)
+        part = _slice_of(keys, self.slices).astype(np.int64) - self.start
         left, level = np.flatnonzero((part >= 0) & (part < len(self.firsts) - 1)), 1
-        while len(left):
-            first = self.firsts[part[left]]
-            found = np.ones(len(left), bool)
-            for at in _places(keys[left], level, first, self.firsts[part[left] + 1] - first):
-                found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            left = left[found]
+        keys, part = keys[left], part[left]
+        first = self.firsts[part]
+        size = self.firsts[part + 1] - first
+        while len(left) and level < len(THRESHOLDS):
+            at, mask = _places(keys, level, first, size)
+            found = np.flatnonzero(words[at] & mask == mask)
+            left, keys, first, size = left[found], keys[found], first[found], size[found]
             out[left] = level
             level += 1
         return out
@@ -169,11 +173,11 @@ class Model:
             end = start + 1
             while end < len(self.sizes) and sum(self.sizes[start : end + 1]) <= limit:
                 end += 1
-            firsts = np.cumsum([0] + self.sizes[start:end]) // 64
-            bits = np.zeros(int(firsts[-1]) * 64, np.uint8)
+            firsts = np.cumsum([0] + self.sizes[start:end]) // 8
+            bits = bytearray(int(firsts[-1]) * 8)
             for row in self.filters.where(F.col("part").between(start, end - 1)).toLocalIterator():
-                at = int(firsts[row.part - start]) * 64
-                bits[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+                at = int(firsts[row.part - start]) * 8
+                bits[at : at + len(row.bits)] = row.bits
             yield Filter(len(self.sizes), start, firsts.astype(np.uint64), bits), end == len(self.sizes)
             start = end
 
@@ -186,7 +190,7 @@ def probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, floor:
     return np.where(context > 0, MIX * share + (1 - MIX) * alone, alone)
 
 
-def _count_keys(slices: int):
+def _count_pairs(slices: int):
     def run(batches):
         hashes, held, size = Hashes(), [], 0
         end = np.uint64(hashes[END.encode()])
@@ -199,9 +203,9 @@ def _count_keys(slices: int):
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 words = np.append(hashes.of(tokens(text.as_py())), end)
-                held += [pair_keys(np.concatenate(([end], words[:-1])), words), words]
-                size += 2 * len(words)
-                if size > 20 * FLUSH:
+                held.append(pair_keys(np.concatenate(([end], words[:-1])), words))
+                size += len(words)
+                if size > 10 * FLUSH:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -210,25 +214,36 @@ def _count_keys(slices: int):
     return run
 
 
+def _word_keys(slices: int):
+    """(word, c) in; its key and slice out."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in batch.column(0)), np.uint64, batch.num_rows)
+            part = _slice_of(keys, slices).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys.view(np.int64)), batch.column(1)], names=["part", "key", "c"])
+
+    return run
+
+
 def _slice(key, table):
     """The counts of a slice's keys in; its bytes out."""
     keys, where = np.unique(table["key"].to_numpy().view(np.uint64), return_inverse=True)
     levels = np.searchsorted(THRESHOLDS, np.bincount(where, table["c"].to_numpy()), side="right")
-    blocks = max(1, -(-int(levels.sum()) * BITS_EACH // 512))
-    flags = np.zeros(blocks * 512, bool)
+    flags = np.zeros(max(1, -(-int(levels.sum()) * BITS_EACH // 64)), np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _places(keys[levels >= level], level, np.uint64(0), np.uint64(blocks)):
-            flags[at] = True
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+        at, mask = _places(keys[levels >= level], level, np.uint64(0), np.uint64(len(flags)))
+        np.bitwise_or.at(flags, at, mask)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([flags.tobytes()], pa.binary())})
 
 
-def build_filter(texts: DataFrame, total: int, slice_tokens: int = SLICE) -> tuple[DataFrame, list[int]]:
-    """(table of the slices, their sizes in bytes) from a one-column table of texts with so many tokens."""
-    slices = max(1, -(-total // slice_tokens))
-    counted = texts.mapInArrow(_count_keys(slices), "part int, key long, c long")
-    table = materialise(counted.groupBy("part").applyInArrow(_slice, "part int, bits binary"), "filter")
+def build_filter(texts: DataFrame, counted: DataFrame, total: int, slice_tokens: int = SLICE) -> tuple[DataFrame, list[int]]:
+    """(table of the slices, their sizes in bytes) from a one-column table of texts with so many tokens, and its words' counts."""
+    slices, fields = max(1, -(-total // slice_tokens)), "part int, key long, c long"
+    keys = texts.mapInArrow(_count_pairs(slices), fields).union(counted.mapInArrow(_word_keys(slices), fields))
+    table = materialise(keys.groupBy("part").applyInArrow(_slice, "part int, bits binary"), "filter")
     found = {r.part: r.n for r in table.select("part", F.length("bits").alias("n")).collect()}  # one short row a slice
-    return table, [found.get(i, 64) for i in range(slices)]
+    return table, [found.get(i, 8) for i in range(slices)]
 
 
 def train(texts: DataFrame, words: int = WORDS, slice_tokens: int = SLICE) -> tuple[Model, DataFrame]:
@@ -239,7 +254,7 @@ def train(texts: DataFrame, words: int = WORDS, slice_tokens: int = SLICE) -> tu
     if total and all(bytes(r.word) != END.encode() for r in frequent):
         frequent += counted.where(F.col("word") == F.lit(END).cast("binary")).collect()  # the end is numbered whatever its rank
     counts = np.array([r.c for r in frequent] + [total - sum(r.c for r in frequent)], np.int64)
-    return Model({bytes(r.word): i for i, r in enumerate(frequent)}, counts, total, distinct, *build_filter(texts, total, slice_tokens)), counted
+    return Model({bytes(r.word): i for i, r in enumerate(frequent)}, counts, total, distinct, *build_filter(texts, counted, total, slice_tokens)), counted
 
 
 def _chunks(batch):
@@ -257,24 +272,38 @@ def _chunks(batch):
         yield batch.slice(start, at - start), words, np.array(sizes), None if seen.null_count else [np.frombuffer(x.as_py(), np.uint8) for x in seen]
 
 
-def _look(part: Filter, hashes: Hashes, words: list[bytes], sizes: np.ndarray, seen) -> np.ndarray:
-    """Levels of the pairs (first row) and the words (second) of all texts: those found in these slices, and those seen before."""
-    own = hashes.of(words)
+def _look(part: Filter, model, hashes: Hashes, words: list[bytes], sizes: np.ndarray, seen) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the pairs (first row) and the words (second) of all texts, by these slices and those before; the words' numbers.
+
+    Numbered words need no lookup: their levels follow from their counts. Words are looked up once each.
+    """
+    own, numbers = hashes.of(words), model.numbered(words)
     before = np.concatenate((own[:1], own[:-1]))
     before[np.cumsum(sizes) - sizes] = hashes[END.encode()]
-    keys, where = np.unique(np.concatenate((pair_keys(before, own), own)), return_inverse=True)
-    levels = part.levels(keys)[where].reshape(2, -1)
-    return levels if seen is None else levels + np.concatenate([x.reshape(2, -1) for x in seen], axis=1)
+    levels = np.zeros((2, len(own)), np.uint8)
+    levels[0] = part.levels(pair_keys(before, own))
+    rare = np.flatnonzero(numbers == len(model.counts) - 1)
+    keys, where = np.unique(own[rare], return_inverse=True)
+    levels[1, rare] = part.levels(keys)[where]
+    if seen is not None:
+        levels += np.concatenate([x.reshape(2, -1) for x in seen], axis=1)
+    known = numbers < len(model.counts) - 1
+    levels[1, known] = np.searchsorted(THRESHOLDS, model.counts, side="right")[numbers[known]]
+    return levels, numbers
+
+
+def _model(shared) -> Model:
+    return Model(*shared.value, None, [])
 
 
-def _probe(shared):
+def _probe(shared, part):
     """(row, doc_id, text, levels) in and out, with the levels of this pass's slices added."""
 
     def run(batches):
-        hashes = Hashes()
+        model, hashes = _model(shared), Hashes()
         for batch in batches:
             for rows, words, sizes, seen in _chunks(batch):
-                levels = _look(shared.value, hashes, words, sizes, seen)
+                levels, _ = _look(part.value, model, hashes, words, sizes, seen)
                 each = [x.tobytes() for x in np.split(levels, np.cumsum(sizes)[:-1], axis=1)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(each, pa.binary())], names=["row", "doc_id", "text", "levels"])
 
@@ -288,17 +317,16 @@ def _score(shared, last):
     """(row, doc_id, text, levels) in; per text one row with its score and what the numbered words give, and one per distinct other word with its frequency."""
 
     def run(batches):
-        words_of, counts, total, distinct = shared.value
-        model, hashes = Model(words_of, counts, total, distinct, None, []), Hashes()
-        other, end_known = len(counts) - 1, total > 0
+        model, hashes = _model(shared), Hashes()
+        other, end_known = len(model.counts) - 1, model.total > 0
         for batch in batches:
             for rows, words, sizes, seen in _chunks(batch):
                 starts = np.cumsum(sizes) - sizes
-                levels = _look(last.value, hashes, words, sizes, seen).astype(np.int64)
+                levels, numbers = _look(last.value, model, hashes, words, sizes, seen)
+                levels = levels.astype(np.int64)
                 context = np.concatenate((levels[1][:1], levels[1][:-1]))
                 context[starts] = levels[1][starts + sizes - 1]  # the end's own level
                 score = np.log10(probability(levels[0], context, levels[1], model.floor))
-                numbers = model.numbered(words)
                 rare = numbers == other
                 if not end_known:
                     rare[np.cumsum(sizes) - 1] = False  # nothing was trained: the end has count 0
@@ -329,7 +357,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, id_col: str = "doc_
         sent = context.broadcast(part)
         if last:
             break
-        before, written = written, materialise(rows.mapInArrow(_probe(sent), rows.schema), "levels")
+        before, written = written, materialise(rows.mapInArrow(_probe(shared, sent), rows.schema), "levels")
         sent.unpersist()
         if before is not None:
             release(before)

@@ -37,25 +37,24 @@ def brute(rows):
 
 
 def compare(df, rows, words=op.WORDS, **sizes):
-    """Counts and base exactly; the score up to the filter's false positives, which are rare with so many bits."""
+    """Counts and base exactly; the caller judges the score, which the filter's false positives touch."""
     model, counted = op.train(df.where(~op.held_out(op.F.col("doc_id"))).select(op.F.coalesce("text", op.F.lit("")).alias("text")), words, **sizes)
     got = sorted((tuple(r) for r in op.score(df, model, counted, limit=1 << 16 if sizes else op.PASS).collect()), key=str)
     want = brute(rows)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(math.isclose(g[5], w[5], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
     assert all(g[6] < 0 and math.isfinite(g[6]) for g in got if g[4])
-    same = [math.isclose(g[6], w[6], rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want, strict=True)]
-    return got, same
+    return got
 
 
 @pytest.mark.parametrize("words,sizes", [(op.WORDS, {}), (50, {"slice_tokens": 5000})])
-def test_table_against_plain_model(spark, monkeypatch, words, sizes):
+def test_table_against_plain_model(spark, words, sizes):
     """In one pass, and in many passes over small slices."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    got, same = compare(df, rows, words, **sizes)
+    got = compare(df, rows, words, **sizes)
     gap = [abs(g[6] - w[6]) / w[2] for g, w in zip(got, brute(rows), strict=True)]
-    assert sum(same) > len(same) / 4 and max(gap) < 0.5 and sum(gap) / len(gap) < 0.02, (sum(same), max(gap), sum(gap) / len(gap))
+    assert max(gap) < 0.15 and sum(gap) / len(gap) < 0.01, (max(gap), sum(gap) / len(gap))  # log10 a token
 
 
 def test_probabilities_sum_to_one_at_most(spark):
@@ -82,7 +81,7 @@ def test_edge_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "A b a Ä x\u0085y"), (4, "word " * 200_000), (5, " \x0b\x0c "), (12, "never seen"), (12, "never seen")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, SCORE int")
     compare(df, rows)
-    assert compare(df.limit(0), []) == ([], [])
+    assert compare(df.limit(0), []) == []
     only = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2] or [(9, "x")]
     model, counted = op.train(df.limit(0).select("text"))
     for r in op.score(spark.createDataFrame(only, "doc_id long, text string"), model, counted).collect():
@@ -100,22 +99,23 @@ def test_filter_keeps_every_pair(spark):
         counts.update(op.pair_keys(np.concatenate((words[-1:], words[:-1])), words).tolist() + words.tolist())
     keys, want = np.array(list(counts), np.uint64), np.searchsorted(op.THRESHOLDS, list(counts.values()), side="right")
     for tokens, limit in ((op.SLICE, op.PASS), (2000, 1 << 14)):
-        table, sizes = op.build_filter(df, 60_030, tokens)
+        counted = spark.createDataFrame(list(Counter(w for t in texts for w in [*op.tokens(t.encode()), b" "]).items()), "word binary, c long")
+        table, sizes = op.build_filter(df, counted, 60_030, tokens)
         model = op.Model({}, np.zeros(1, np.int64), 0, 0, table, sizes)
         parts = [part for part, _ in model.passes(limit)]
         assert (len(parts) > 3) == (tokens == 2000)
         got = sum(part.levels(keys).astype(int) for part in parts)
-        assert (got >= want).all() and (got == want).mean() > 0.97
+        assert (got >= want).all() and (got == want).mean() > 0.9
         strange = op._mixed(np.arange(20_000, dtype=np.uint64))
-        assert sum((part.levels(strange) > 0).sum() for part in parts) < 400
-        assert sum(sizes) * 8 < 1.2 * op.BITS_EACH * want.sum() + 512 * len(sizes)
+        assert sum((part.levels(strange) > 0).sum() for part in parts) < 1000
+        assert sum(sizes) * 8 < 1.2 * op.BITS_EACH * want.sum() + 64 * len(sizes)
 
 
 def test_pairs_help(spark):
     """Texts of the training kind are likelier under the mixed model than under words alone."""
     text = "the cat sat on the mat and the dog lay on the rug"
     df = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
-    got, _ = compare(df, [(i, text) for i in range(40)])
+    got = compare(df, [(i, text) for i in range(40)])
     assert all(g[6] > g[5] + 3 for g in got)
 
 
@@ -123,5 +123,5 @@ def test_end_is_numbered_whatever_its_rank(spark):
     """Every word here is more frequent than the end, and fewer words are numbered than that."""
     rows = [(i, "a b c a b a " * 50 + "rare") for i in (1, 3, 4)]
     assert sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows) >= 2
-    got, _ = compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, words=1)
+    got = compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, words=1)
     assert all(g[3] == g[2] for g in got)
