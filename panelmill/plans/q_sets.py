@@ -1,11 +1,12 @@
 """Sorts, limits, top-k (F); set operations (G); scalar functions (H); UDF forms (J)."""
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelmill.functions import columns as fn
 from panelmill.functions.columns import snap
-from panelmill.operators import models, neardup, news, panel, splits, stats
+from panelmill.operators import learners, models, neardup, news, panel, splits, stats
 from panelmill.plans import config
 from panelmill.plans.q_stats import MI_FEATS, mi_sql
 from panelmill.plans.registry import query
@@ -103,18 +104,18 @@ def g04(t):
 
 @query(
     "g05_upsert",
-    """SELECT ticker, dt, SNAP6(CASE WHEN dt >= DATE '1997-01-01' THEN close * 2 ELSE close END) AS close FROM bars_v WHERE dt < DATE '1998-01-01' OR volume > 0""",
+    """SELECT ticker, dt, SNAP6(CASE WHEN dt >= DATE '1997-01-01' THEN close * 2 ELSE close END) AS close FROM bars_v""",
 )
 def g05(t):
-    bars = t.bars.select("ticker", "dt", "close", "volume")
+    bars = t.bars.select("ticker", "dt", "close")
     base = bars.filter("dt < DATE '1998-01-01'")
-    delta = bars.filter("dt >= DATE '1997-01-01' AND (dt < DATE '1998-01-01' OR volume > 0)").withColumn("close", F.col("close") * 2)
+    delta = bars.filter("dt >= DATE '1997-01-01'").withColumn("close", F.col("close") * 2)
     return panel.upsert(base, delta, ["ticker", "dt"]).select("ticker", "dt", snap("close").alias("close"))
 
 
-@query("g06_combine_feeds", "SELECT seq, title, 'feed' AS origin FROM articles_v WHERE lang = 'en' UNION ALL SELECT page_id, url, 'page' FROM pages")
+@query("g06_combine_feeds", "SELECT seq, title, 'feed' AS origin FROM articles_v UNION ALL SELECT page_id, url, 'page' FROM pages")
 def g06(t):
-    a = t.articles.filter("lang = 'en'").select("seq", "title", F.lit("feed").alias("origin"))
+    a = t.articles.select("seq", "title", F.lit("feed").alias("origin"))
     b = t.read("pages").select(F.col("page_id").alias("seq"), F.col("url").alias("title"), F.lit("page").alias("origin"))
     return a.unionByName(b)
 
@@ -318,11 +319,9 @@ def j02(t):
     "SELECT ticker, count(*) - 1 AS n_kept, arg_max(dt, dt) FILTER (WHERE nx IS NOT NULL) AS last_kept FROM (SELECT *, lead(dt) OVER (PARTITION BY ticker ORDER BY dt) AS nx FROM bars_v) GROUP BY ticker",
 )
 def j03(t):
-    def cut_tail(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = pdf.sort_values("dt").iloc[:-1]
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[:1], "n_kept": [len(kept)], "last_kept": [kept["dt"].iloc[-1] if len(kept) else None]})
-
-    return t.bars.select("ticker", "dt").groupBy("ticker").applyInPandas(cut_tail, "ticker string, n_kept long, last_kept date")
+    before = F.max(F.when(F.col("later").isNotNull(), F.col("dt")))
+    kept = t.bars.select("ticker", "dt", F.lead("dt").over(panel.by_key()).alias("later"))
+    return kept.groupBy("ticker").agg((F.count(F.lit(1)) - 1).alias("n_kept"), before.alias("last_kept"))
 
 
 @query(
@@ -338,9 +337,11 @@ def j04(t):
 
 @query(
     "j05_row_generator",
-    """WITH n AS (SELECT ticker, count(*) AS n FROM bars_v GROUP BY ticker), k AS (SELECT ticker, n, unnest(generate_series(0, CAST(n AS BIGINT))) AS fold FROM n)
-    SELECT ticker, fold, 126 + 4 + fold * 63 AS test_start, 126 + 4 + fold * 63 + 63 AS test_end FROM k WHERE 126 + 4 + fold * 63 + 63 <= n""",
+    """WITH n AS (SELECT ticker, count(*) AS n FROM bars_v GROUP BY ticker), w AS (SELECT unnest([126, 378, 756]) AS size),
+    k AS (SELECT ticker, n, size, unnest(generate_series(0, CAST(n AS BIGINT))) AS fold FROM n CROSS JOIN w)
+    SELECT ticker, size, fold, size + 4 + fold * 63 AS test_start, size + 4 + fold * 63 + 63 AS test_end FROM k WHERE size + 4 + fold * 63 + 63 <= n""",
 )
 def j05(t):
     n = t.bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    return splits.fold_ranges(n, 126)
+    per_window = [splits.fold_ranges(n, size).withColumn("size", F.lit(size)) for size in learners.WINDOWS.values()]
+    return reduce(lambda a, b: a.unionByName(b), per_window)

@@ -413,8 +413,7 @@ def c13(t):
     return panel.enrich_metadata(feed, cache, fallback, ["sector"])
 
 
-@query("c15_align_series", "SELECT s.dt, SNAP6(d) AS d_close, SNAP6(score) AS score FROM (SELECT dt, score, close - lag(close) OVER (ORDER BY dt) AS d FROM sector_news_v WHERE sector = 'ASIA') s WHERE d IS NOT NULL AND score IS NOT NULL")
+@query("c15_align_series", "SELECT sector, dt, SNAP6(d) AS d_close, SNAP6(score) AS score FROM (SELECT sector, dt, score, close - lag(close) OVER (PARTITION BY sector ORDER BY dt) AS d FROM sector_news_v) s WHERE sector IS NOT NULL AND d IS NOT NULL AND score IS NOT NULL")
 def c15(t):
-    asia = t.sector_news.filter("sector = 'ASIA'")
-    price = asia.select("dt", (F.col("close") - F.lag("close").over(panel.by_date())).alias("d_close"))
-    return panel.align_series(price, asia.select("dt", "score"), "dt").select("dt", *s6("d_close", "score"))
+    price = t.sector_news.select("sector", "dt", (F.col("close") - F.lag("close").over(panel.by_key("sector"))).alias("d_close"))
+    return panel.align_series(price, t.sector_news.select("sector", "dt", "score"), "sector", "dt").select("sector", "dt", *s6("d_close", "score"))

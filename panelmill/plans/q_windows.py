@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import flag, ratio, snap
-from panelmill.operators import features, panel, splits
+from panelmill.operators import features, learners, panel, splits
 from panelmill.operators.panel import by_key, pct_change
 from panelmill.plans.registry import query
 
@@ -316,9 +316,9 @@ FOLDS = """WITH p AS (SELECT ticker, dt, row_number() OVER (PARTITION BY ticker
       AND ((row_no - 1 >= test_start AND row_no - 1 < test_start + 63) OR (row_no - 1 >= test_start - 4 - {win} AND row_no - 1 < test_start - 4))"""
 
 
-@query("e28_walk_forward_folds", FOLDS.replace("{win}", "126"))
+@query("e28_walk_forward_folds", " UNION ALL ".join(f"SELECT '{name}' AS \"window\", * FROM ({FOLDS.replace('{win}', str(size))})" for name, size in learners.WINDOWS.items()))
 def walk_forward_folds(t):
-    return splits.walk_forward_folds(t.bars.select(*ID), {"Reactionary": 126}).drop("window")
+    return splits.walk_forward_folds(t.bars.select(*ID), learners.WINDOWS)
 
 
 @query(
