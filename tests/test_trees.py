@@ -179,3 +179,28 @@ def test_run_experiment(spark):
     assert {"p_value", "train_pos_ratio", "exo_better", "auc_lift"} <= set(report.columns)
     strict = models.run_experiment(short, macro, settings=s, min_f1=2.0)
     assert strict.count() == 0
+
+
+def test_keys_that_grow_side_by_side_have_the_trees_of_one():
+    """One histogram for several keys, of different lengths and rounds, changes no tree; a key of one class has none."""
+    rng, parts = np.random.default_rng(5), []
+    for n in (60, 90, 35, 120, 50):
+        x = rng.normal(size=(n + 20, 3)).round(1)
+        y = (x[:, 0] + rng.normal(size=n + 20) > 0).astype(float)
+        parts.append((x[:n], y[:n], x[n:], y[n:]))
+    parts.insert(2, (parts[0][0], np.ones(60), parts[0][2], parts[0][3]))
+    for s in (replace(trees.BOOSTED, trees=30, patience=5), replace(trees.HIST_BOOSTED, trees=30, patience=5, least=4, leaves=5)):
+        together = trees.boost_many(parts, s)
+        assert together == [trees.boost(*p, s) for p in parts] and together[2] is None
+        assert len({m["n_tried"] for m in together if m}) > 1
+
+
+def test_rows_of_a_key_stay_together():
+    import pyarrow as pa
+
+    keys = ["a"] * 5 + [None] * 3 + ["b"] * 4 + ["c"]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + 2], pa.string()), "v": list(range(i, min(i + 2, 13)))}) for i in range(0, 13, 2)]
+    for most in (1, 2, 9):
+        groups = list(trees._groups(iter(batches), "k", most))
+        assert [t["k"].to_pylist() for g in groups for t in g] == [["a"] * 5, [None] * 3, ["b"] * 4, ["c"]]
+        assert all(len(g) <= most for g in groups) and [v for g in groups for t in g for v in t["v"].to_pylist()] == list(range(13))
