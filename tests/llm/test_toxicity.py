@@ -44,3 +44,20 @@ def test_fit_is_repeatable_and_bounded(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     assert op.fit(docs, labels) == op.fit(docs.repartition(7), labels.repartition(3))
     assert op.training_features(docs, labels, sample=20)[1].count() <= 20
+
+
+def test_only_chosen_features_reach_the_driver(spark, monkeypatch):
+    from panelmill.session import materialise
+
+    written = []
+
+    def noted(df, name):
+        table = materialise(df, name)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(op, "materialise", noted, raising=False)
+    monkeypatch.setattr(op.training_features, "__defaults__", (op.SAMPLE, 2, 5))
+    docs = spark.createDataFrame([(i, f"word{'abcdefgh'[i % 8]} common shared {'bad' if i % 3 == 0 else 'good'}") for i in range(40)], "doc_id long, text string")
+    op.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic"))
+    assert written == [("features", 5)]
