@@ -6,14 +6,14 @@ A per-key fit gets the rows of one ticker (and window and fold), which the calen
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelmill.functions.columns import relative_lift, snap, squared_loss
-from panelmill.operators import splits, stats
+from panelmill.operators import splits, stats, trees
 from panelmill.operators.panel import DATE, KEY
 from panelmill.session import materialise
 
@@ -22,6 +22,8 @@ BOOSTED = {"maxDepth": 6, "stepSize": 0.03, "maxIter": 1000}
 FOREST = {"numTrees": 500, "maxDepth": 10, "minInstancesPerNode": 4}
 HIST_BOOSTED = {"maxDepth": 8, "stepSize": 0.05, "maxIter": 1000, "maxBins": 256}
 LOGISTIC_C = 0.1
+KEYS_AT_ONCE = 64  # keys of a partition whose logistic fits run together
+CELLS = 1 << 21  # numbers of the matrices that are fitted side by side
 MIN_TEST_ROWS = 30  # of a tournament window
 WINDOWS = {"Reactionary": 126, "Tactical": 378, "Strategic": 756}
 
@@ -69,33 +71,89 @@ def feature_importance(model, spark, features: list[str]) -> DataFrame:
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True, steps: int = 50) -> tuple[np.ndarray, float]:
     """L2 logistic regression by Newton steps with halving: c * sum of weighted losses + |w|^2 / 2, free intercept."""
-    n, k = x.shape
-    w = np.ones(n)
-    if balanced:
-        for value in (0, 1):
-            members = (y == value).sum()
-            w[y == value] = n / (2 * members) if members else 0
-    xb = np.hstack([x, np.ones((n, 1))])
-    penalty = np.append(np.ones(k), 0.0)
-    beta = np.zeros(k + 1)
-
-    def loss(b):
-        z = xb @ b
-        return c * np.sum(w * (np.logaddexp(0, z) - y * z)) + 0.5 * np.sum(penalty * b * b)
-
-    now = loss(beta)
+    return logistic_fits([(x, y)], c, balanced, steps)[0]
+
+
+def logistic_fits(parts: list[tuple[np.ndarray, np.ndarray]], c: float, balanced: bool = True, steps: int = 50) -> list[tuple[np.ndarray, float]]:
+    """`logistic_fit` of every (x, y), those of like length side by side; shorter ones are filled up with rows of weight 0."""
+    order, found, at = sorted(range(len(parts)), key=lambda i: len(parts[i][1])), [None] * len(parts), 0
+    while at < len(order):
+        shortest, width, end = len(parts[order[at]][1]), parts[order[at]][0].shape[1] + 1, at + 1
+        while end < len(order) and (n := len(parts[order[end]][1])) <= 1.2 * shortest + 8 and (end + 1 - at) * n * width <= CELLS:
+            end += 1
+        together, at = order[at:end], end
+        n, k = len(parts[together[-1]][1]), parts[together[0]][0].shape[1]
+        xb, y, w = np.zeros((len(together), n, k + 1)), np.zeros((len(together), n)), np.zeros((len(together), n))
+        for i, place in enumerate(together):
+            own, labels = parts[place]
+            m = len(labels)
+            xb[i, :m, :k], xb[i, :m, k], y[i, :m], w[i, :m] = own, 1.0, labels, 1.0
+            if balanced:
+                for value in (0, 1):
+                    members = (labels == value).sum()
+                    w[i, :m][labels == value] = m / (2 * members) if members else 0
+        for place, beta in zip(together, _newton(xb, y, w, c, steps), strict=True):
+            found[place] = (beta[:k], float(beta[k]))
+    return found
+
+
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float, steps: int) -> np.ndarray:
+    """Coefficients of each fit, the last the intercept; a fit that has arrived stays while the others go on."""
+    count, _, k = x.shape
+    penalty = np.append(np.ones(k - 1), 0.0)
+    ridge = np.diag(penalty) + 1e-12 * np.eye(k)
+    out, going = np.zeros((count, k)), np.arange(count)
+
+    def loss(some, b):
+        z = np.matmul(x[some], b[:, :, None])[:, :, 0]
+        return c * np.sum(w[some] * (np.logaddexp(0, z) - y[some] * z), axis=1) + 0.5 * np.sum(penalty * b * b, axis=1)
+
+    now = loss(slice(None), out)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(xb @ beta, -35, 35)))
-        g = c * (xb.T @ (w * (p - y))) + penalty * beta
-        h = c * (xb.T * (w * p * (1 - p))) @ xb + np.diag(penalty) + 1e-12 * np.eye(k + 1)
-        step, size = np.linalg.solve(h, g), 1.0
-        while size > 1e-8 and loss(beta - size * step) > now:
-            size /= 2
-        beta = beta - size * step
-        before, now = now, loss(beta)
-        if np.max(np.abs(size * step)) < 1e-10 or before - now < 1e-14 * max(1.0, abs(before)):
+        beta = out[going]
+        p = 1 / (1 + np.exp(-np.clip(np.matmul(x, beta[:, :, None])[:, :, 0], -35, 35)))
+        g = c * np.matmul((w * (p - y))[:, None, :], x)[:, 0] + penalty * beta
+        h = c * np.matmul(x.transpose(0, 2, 1) * (w * p * (1 - p))[:, None, :], x) + ridge
+        step, size = np.linalg.solve(h, g[:, :, None])[:, :, 0], np.ones(len(going))
+        fresh = beta - step
+        after = loss(slice(None), fresh)
+        worse = np.flatnonzero(after > now)
+        while len(worse):
+            size[worse] /= 2
+            fresh[worse] = beta[worse] - size[worse, None] * step[worse]
+            after[worse] = loss(worse, fresh[worse])
+            worse = worse[(size[worse] > 1e-8) & (after[worse] > now[worse])]
+        out[going] = fresh
+        done = (np.max(np.abs(size[:, None] * step), axis=1) < 1e-10) | (now - after < 1e-14 * np.maximum(1.0, np.abs(now)))
+        if done.all():
             break
-    return beta[:k], float(beta[k])
+        left = ~done
+        going, now = going[left], after[left]
+        if done.any():
+            x, y, w = x[left], y[left], w[left]
+    return out
+
+
+def _standardised_fits(parts: list[tuple[np.ndarray, np.ndarray]], c: float, balanced: bool) -> list[tuple]:
+    """(mu, sigma, coefficients, intercept) of each (x, y), on standardised columns (population deviation, 0 -> 1), in a fixed order of its rows."""
+    scaled, scales = [], []
+    for x, y in parts:
+        order = np.lexsort((y, *x.T[::-1]))
+        x, y = x[order], y[order]
+        mu, sigma = x.mean(axis=0), x.std(axis=0)
+        sigma[sigma == 0] = 1.0
+        scaled.append(((x - mu) / sigma, y))
+        scales.append((mu, sigma))
+    return [(*scale, *fit) for scale, fit in zip(scales, logistic_fits(scaled, c, balanced), strict=True)]
+
+
+def _matrix(table: pa.Table, columns: list[str]) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in columns], axis=1) if columns else np.zeros((table.num_rows, 0))
+
+
+def _together(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key side by side in one partition, without an exchange where they already are: what a window over the key needs."""
+    return df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys))).sortWithinPartitions(*keys)
 
 
 def fit_logistic_per_key(
@@ -103,25 +161,28 @@ def fit_logistic_per_key(
 ) -> DataFrame:
     """Coefficients per key, on standardised training rows (population deviation, 0 -> 1).
 
-    `df` holds training rows only. Keys with one class have no fit.
+    `df` holds training rows only. Keys with one class have no fit. The fits of `KEYS_AT_ONCE` keys run side by side.
     """
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n_train long, mu array<double>, sigma array<double>, coef array<double>, intercept double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        if len(y) < min_rows or y.min() == y.max():
-            return pd.DataFrame(columns=[*keys, "n_train", "mu", "sigma", "coef", "intercept"], dtype=object)
-        order = np.lexsort(np.column_stack([x, y]).T[::-1])
-        x, y = x[order], y[order]
-        mu, sigma = x.mean(axis=0), x.std(axis=0)
-        sigma[sigma == 0] = 1.0
-        w, b = logistic_fit((x - mu) / sigma, y, c, balanced)
-        return pd.DataFrame({**head, "n_train": [len(y)], "mu": [mu.tolist()], "sigma": [sigma.tolist()], "coef": [w.tolist()], "intercept": [b]})
-
-    rows = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features], target).fillna(0.0, subset=features)
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_train long, mu array<double>, sigma array<double>, coef array<double>, intercept double"
+    out = trees._arrow(df.sparkSession, schema)
+    columns = [f"_x{i}" for i in range(len(features))]
+
+    def run(batches):
+        for tables in trees._groups(batches, keys, KEYS_AT_ONCE):
+            whole = pa.concat_tables(tables)
+            x, y, ends = _matrix(whole, columns), whole["_y"].to_numpy(), np.cumsum([t.num_rows for t in tables])
+            parts = [(x[a:b], y[a:b]) for a, b in zip((0, *ends[:-1]), ends, strict=True)]
+            kept = [i for i, (_, y) in enumerate(parts) if len(y) >= min_rows and y.min() != y.max()]
+            rows = []
+            for i, (mu, sigma, coef, intercept) in zip(kept, _standardised_fits([parts[i] for i in kept], c, balanced), strict=True):
+                head = {k: tables[i][k][0].as_py() for k in keys}
+                rows.append({**head, "n_train": len(parts[i][1]), "mu": mu.tolist(), "sigma": sigma.tolist(), "coef": coef.tolist(), "intercept": intercept})
+            yield from pa.Table.from_pylist(rows, schema=out).to_batches()
+
+    numbers = [F.col(f).cast("double").alias(x) for f, x in zip(features, columns, strict=True)]
+    rows = df.select(*keys, *numbers, F.col(target).cast("double").alias("_y")).fillna(0.0, subset=columns)
+    return _together(rows, keys).mapInArrow(run, schema)
 
 
 def score_logistic(df: DataFrame, fits: DataFrame, features: list[str], keys: list[str], out: str = "p") -> DataFrame:
@@ -185,18 +246,51 @@ def walk_forward_tournament(
     Metrics are those of each fold, then their mean; the DM statistic pools the test rows of all folds. A training fold with one
     class gives no fold, and a window with fewer than `MIN_TEST_ROWS` test rows gives no row.
 
-    The table is written once, since both fits and the scoring read it. A row carries its features into
-    every (window, fold, role); a fit is a group of (ticker, window, fold) with at most window rows.
+    The rows of a ticker stay together: a row carries its features into every (window, fold, role), and the folds of a ticker are
+    fitted for both sets, and their test rows scored, in one pass. A fit has at most window rows.
     """
     name_a, name_b = feature_sets
     columns = sorted({c for cols in feature_sets.values() for c in cols})
     table = materialise(df.select(key, DATE, target, *columns), "tournament")
     rows = splits.walk_forward_folds(table, windows, test, key=key)
-    keys = [key, "window", "fold"]
-    train, scored = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    for name, cols in feature_sets.items():
-        scored = score_logistic(scored, fit_logistic_per_key(train, cols, target, keys, c), cols, keys, f"p_{name}")
-    return tournament_report(scored, target, name_a, name_b, key)
+    return tournament_report(fit_and_score_folds(rows, target, feature_sets, [key, "window", "fold"], c), target, name_a, name_b, key)
+
+
+def fit_and_score_folds(rows: DataFrame, target: str, feature_sets: dict[str, list[str]], keys: list[str], c: float = LOGISTIC_C) -> DataFrame:
+    """(keys, target, p_<set>) of the rows with role test, by the fits of the rows of their keys with role train.
+
+    As `fit_logistic_per_key` and `score_logistic` for each set; keys that are null or whose training rows have one class give no row.
+    """
+    place = {f: i for i, f in enumerate(sorted({f for cols in feature_sets.values() for f in cols}))}
+    kinds, columns = dict(rows.dtypes), [f"_x{i}" for i in place.values()]
+    fields = [*keys, target]
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in fields) + "".join(f", `p_{name}` double" for name in feature_sets)
+    out = trees._arrow(rows.sparkSession, schema)
+
+    def run(batches):
+        for tables in trees._groups(batches, keys, KEYS_AT_ONCE):
+            whole = pa.concat_tables(tables)
+            x, y, tested = _matrix(whole, columns), whole["_y"].to_numpy(), whole["_test"].to_numpy()
+            parts, kept, ends = [], np.zeros(len(y), bool), np.cumsum([t.num_rows for t in tables])
+            for a, b in zip((0, *ends[:-1]), ends, strict=True):
+                train, test = a + np.flatnonzero(~tested[a:b]), a + np.flatnonzero(tested[a:b])
+                if len(test) and len(train) >= 2 and y[train].min() != y[train].max():
+                    parts.append((np.where(np.isnan(x[train]), 0.0, x[train]), y[train], x[test]))
+                    kept[test] = True
+            found = whole.filter(pa.array(kept)).select(fields)
+            for name, features in feature_sets.items():
+                own = [place[f] for f in features]
+                fits = _standardised_fits([(x[:, own], y) for x, y, _ in parts], c, True)
+                z = [b + ((x[:, own] - mu) / sigma) @ w for (mu, sigma, w, b), (_, _, x) in zip(fits, parts, strict=True)]
+                with np.errstate(over="ignore"):
+                    found = found.append_column(f"p_{name}", pa.array(1 / (1 + np.exp(-np.concatenate([np.zeros(0), *z])))))
+            yield from found.cast(out).combine_chunks().to_batches()
+
+    numbers = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_x{i}") for f, i in place.items()]
+    staged = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).select(
+        *fields, *numbers, F.col(target).cast("double").alias("_y"), (F.col("role") == "test").alias("_test")
+    )
+    return _together(staged, keys).mapInArrow(run, schema)
 
 
 def tournament_report(scored: DataFrame, target: str, name_a: str, name_b: str, key: str = KEY) -> DataFrame:
