@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import squared_loss, t_critical_95
-from panelmill.operators import causality, learners, models, stats
+from panelmill.operators import causality, learners, models, splits, stats
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -200,3 +200,93 @@ def test_tournament_averages_folds(spark):
     assert r.p_value == pytest.approx(stats._student_tail(r.dm, 31)) and r.significant
     assert r.lift_pct == pytest.approx(100 * (r.b_f1 - r.a_f1) / r.a_f1)
     assert out["even"].dm is None and out["even"].p_value is None and not out["even"].significant
+
+
+def plain_newton(x, y, c):
+    """One logistic fit, one step after the other."""
+    xb, n = np.hstack([x, np.ones((len(y), 1))]), len(y)
+    w = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum())))
+    penalty, beta = np.append(np.ones(x.shape[1]), 0.0), np.zeros(x.shape[1] + 1)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-xb @ beta))
+        h = c * (xb.T * (w * p * (1 - p))) @ xb + np.diag(penalty)
+        beta = beta - 0.5 * np.linalg.solve(h, c * xb.T @ (w * (p - y)) + penalty * beta)
+    return beta
+
+
+def test_fits_side_by_side_are_the_single_fits(monkeypatch):
+    """Of any length, with separable classes and equal columns among them, and in matrices of any size."""
+    rnd, parts = np.random.default_rng(8), []
+    for n in (2, 5, 40, 41, 43, 44, 300, 41):
+        x = rnd.normal(size=(n, 3))
+        y = (x[:, 0] > np.median(x[:, 0])).astype(float) if n in (2, 43) else (rnd.uniform(size=n) > 0.3).astype(float)
+        y[:2] = 0, 1
+        parts.append((np.column_stack([x, x[:, 0]]), y))
+    for cells in (learners.CELLS, 1):
+        monkeypatch.setattr(learners, "CELLS", cells)
+        for (x, y), (w, b) in zip(parts, learners.logistic_fits(parts, 0.1), strict=True):
+            assert np.append(w, b) == pytest.approx(plain_newton(x, y, 0.1), abs=1e-7)
+    assert learners.logistic_fits([], 0.1) == []
+
+
+def test_tournament_fits_both_sets_in_one_pass(spark):
+    """The scores are those of the coefficients per key and set; rows of null keys and of one class go; the folds are not shuffled."""
+    rnd, rows = np.random.default_rng(9), []
+    for key, one in (("A", False), ("B", False), ("C", True), (None, False)):
+        for i, d in enumerate(days(60)):
+            x = rnd.normal(size=2)
+            rows.append((key, d, None if i % 7 == 0 else float(x[0]), float(x[1]), 1 if one else int(x.sum() + rnd.normal() > 0)))
+    df = spark.createDataFrame(rows, "ticker string, dt date, f1 double, f2 double, y int")
+    sets, keys = {"a": ["f2"], "b": ["f2", "f1"]}, ["ticker", "window", "fold"]
+    folds = splits.walk_forward_folds(df, {"w": 20, "v": 30}, 5)
+    got = learners.fit_and_score_folds(folds, "y", sets, keys)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
+    want, train = folds.filter("role = 'test'"), folds.filter("role = 'train'")
+    for name, features in sets.items():
+        want = learners.score_logistic(want, learners.fit_logistic_per_key(train, features, "y", keys), features, keys, f"p_{name}")
+    order = lambda t: sorted(tuple(r) for r in t.select(*keys, "y", F.round("p_a", 9), F.round("p_b", 9)).collect())
+    assert {r.ticker for r in got.collect()} == {"A", "B"} and order(got) == order(want)
+
+
+def test_report_sorts_test_rows_only(spark):
+    """Keys without test rows or with several labels keep their counts; of the others only test rows reach the ranks."""
+    rnd, rows = np.random.default_rng(3), []
+    for key, labels, tests in (("a", ["X"], True), ("b", ["X", "Y", None], True), ("c", [None], True), ("d", ["X"], False)):
+        for i, d in enumerate(days(90)):
+            split = ("train" if i < 60 else "val") if i < 70 or not tests else "test"
+            rows.append((key, labels[i % len(labels)], d, split, int(rnd.uniform() > 0.5), *map(float, rnd.uniform(size=2))))
+    df = spark.createDataFrame(rows, "ticker string, sector string, dt date, split string, y int, p_endo double, p_exo double")
+    report = models.compare_feature_sets(df)
+    got = {(r.ticker, r.sector): r for r in report.collect()}
+    for (key, label), r in got.items():
+        own = [x for x in rows if x[:2] == (key, label)]
+        train = [x[4] for x in own if x[3] == "train"]
+        assert (r.samples, r.test) == (len(own), sum(x[3] == "test" for x in own)) and r.train_pos_ratio == pytest.approx(np.mean(train))
+    assert set(got) == {("a", "X"), ("b", "X"), ("b", "Y"), ("b", None), ("c", None), ("d", "X")}
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("rank(") :].splitlines()  # the plan is printed from the top
+    assert any("Filter" in line and "= test" in line for line in below)
+
+
+def test_correlations_of_all_pairs_in_one_pass(spark):
+    """As `corr` of each pair, nulls pair by pair; constant columns have none; no aggregate per pair."""
+    rnd = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        a = float(rnd.normal()) + 1e6
+        b = None if i % 3 else a * 2 + float(rnd.normal())
+        rows.append((a, b, 0.1, None if i % 3 else 7.7, int(rnd.integers(5)), 5.0 + (0.0 if i % 3 == 0 else a)))
+    names = ["a", "b", "same", "same_b", "n", "flat_b"]
+    df = spark.createDataFrame(rows, "a double, b double, same double, same_b double, n int, flat_b double").repartition(5)
+    out = stats.correlation_pairs(df, names)
+    got = {(r.feature_a, r.feature_b): r["corr"] for r in out.collect()}
+    assert len(got) == 15 and out._jdf.queryExecution().analyzed().toString().count("corr(") == 0
+    for pair, value in got.items():
+        x = np.array([(r[names.index(pair[0])], r[names.index(pair[1])]) for r in rows if None not in (r[names.index(pair[0])], r[names.index(pair[1])])], float)
+        if min(np.ptp(x, axis=0)) == 0:
+            assert value is None, pair
+        else:
+            assert value == pytest.approx(np.corrcoef(x.T)[0, 1], abs=1e-9), pair
+    for few in (df.limit(0), df.limit(1)):
+        assert [r["corr"] for r in stats.correlation_pairs(few, names[:3]).collect()] == [None] * 3
