@@ -46,3 +46,9 @@ def test_one_exchange_per_ticker(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(ticker") == 1
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_sentiment_meets_the_bars_without_a_shuffle(spark):
+    """The news of a day is one broadcast row; only lines, bars' days and articles are dealt out."""
+    plan = entry.queries()["c04_join_sentiment"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not any("Exchange hashpartitioning" in line and "entity" in line for line in plan.splitlines())
