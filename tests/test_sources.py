@@ -84,3 +84,18 @@ def test_mode_switch_reads_nothing_twice(spark, tmp_path):
     assert jobs.load_or_resume(spark, source, TICK, target) == "incremental"
     got = spark.read.parquet(f"{target}/data").groupBy("load_mode").count()
     assert {r["load_mode"]: r["count"] for r in got.collect()} == {"full": 1, "incremental": 1}
+
+
+def test_feed_of_many_files_keeps_its_batches(spark, monkeypatch, tmp_path):
+    """A slice is written by as many tasks as the table has splits and still is one micro-batch, also with few rows or none."""
+    from types import SimpleNamespace
+
+    from panelmill.plans import q_streams
+
+    ticks = spark.range(40).repartition(4).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 3 AS ticker", "'x' AS event_type", "1.0D AS price")
+    monkeypatch.setattr(q_streams, "shared_folder", lambda *_: str(tmp_path / "feed"))
+    conditions = ["event_id < 20", "event_id = 30", "event_id > 50", "event_id >= 10"]
+    stream = q_streams.arriving(SimpleNamespace(spark=spark, ticks=ticks), *[F.expr(c) for c in conditions])
+    sizes = []
+    jobs.drain_batches(stream, lambda batch, _: sizes.append(batch.count()), str(tmp_path / "checkpoint"))
+    assert sizes == [20, 1, 0, 30] and jobs.count_files(spark, f"{tmp_path}/feed/*.parquet") == 16
