@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ BITS_EACH = 10
 PROBES = 4  # bits per entry, all in one word of 64
 MIX = 0.7  # weight of the pair's frequency
 FLUSH = 300_000  # distinct words or pairs held before they are handed on
-TOKENS = 150_000  # tokens scored at a time
+TOKENS = 100_000  # tokens scored at a time
 THRESHOLDS = np.array([1.0] + [x for k in range(1, 60) for x in (2.0**k, 1.5 * 2.0**k)])
 END = "\x20"  # no word holds a space
 ORACLE_SQL = None  # the filter is not SQL; base, counts and score are tested against a plain model
@@ -155,6 +156,11 @@ class Model:
     filters: DataFrame  # (part, bits)
     sizes: list[int]  # bytes of each slice
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """Of the numbered words, by number; 0 for all others."""
+        return np.fromiter((*map(xxhash.xxh64_intdigest, self.words), 0), np.uint64, len(self.counts))
+
     @property
     def floor(self) -> int:
         return self.total + self.distinct + 1
@@ -272,19 +278,21 @@ def _chunks(batch):
         yield batch.slice(start, at - start), words, np.array(sizes), None if seen.null_count else [np.frombuffer(x.as_py(), np.uint8) for x in seen]
 
 
-def _look(part: Filter, model, hashes: Hashes, words: list[bytes], sizes: np.ndarray, seen) -> tuple[np.ndarray, np.ndarray]:
+def _look(part: Filter, model, words: list[bytes], sizes: np.ndarray, seen) -> tuple[np.ndarray, np.ndarray]:
     """Levels of the pairs (first row) and the words (second) of all texts, by these slices and those before; the words' numbers.
 
-    Numbered words need no lookup: their levels follow from their counts. Words are looked up once each.
+    Numbered words need no lookup: their levels follow from their counts, and their hashes are kept by number. Words are looked up once each.
     """
-    own, numbers = hashes.of(words), model.numbered(words)
+    numbers = model.numbered(words)
+    own = model.hashes[numbers]
+    other = np.flatnonzero(numbers == len(model.counts) - 1)
+    own[other] = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in other), np.uint64, len(other))
     before = np.concatenate((own[:1], own[:-1]))
-    before[np.cumsum(sizes) - sizes] = hashes[END.encode()]
+    before[np.cumsum(sizes) - sizes] = np.uint64(xxhash.xxh64_intdigest(END.encode()))
     levels = np.zeros((2, len(own)), np.uint8)
     levels[0] = part.levels(pair_keys(before, own))
-    rare = np.flatnonzero(numbers == len(model.counts) - 1)
-    keys, where = np.unique(own[rare], return_inverse=True)
-    levels[1, rare] = part.levels(keys)[where]
+    keys, where = np.unique(own[other], return_inverse=True)
+    levels[1, other] = part.levels(keys)[where]
     if seen is not None:
         levels += np.concatenate([x.reshape(2, -1) for x in seen], axis=1)
     known = numbers < len(model.counts) - 1
@@ -300,10 +308,10 @@ def _probe(shared, part):
     """(row, doc_id, text, levels) in and out, with the levels of this pass's slices added."""
 
     def run(batches):
-        model, hashes = _model(shared), Hashes()
+        model = _model(shared)
         for batch in batches:
             for rows, words, sizes, seen in _chunks(batch):
-                levels, _ = _look(part.value, model, hashes, words, sizes, seen)
+                levels, _ = _look(part.value, model, words, sizes, seen)
                 each = [x.tobytes() for x in np.split(levels, np.cumsum(sizes)[:-1], axis=1)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(each, pa.binary())], names=["row", "doc_id", "text", "levels"])
 
@@ -317,12 +325,12 @@ def _score(shared, last):
     """(row, doc_id, text, levels) in; per text one row with its score and what the numbered words give, and one per distinct other word with its frequency."""
 
     def run(batches):
-        model, hashes = _model(shared), Hashes()
+        model = _model(shared)
         other, end_known = len(model.counts) - 1, model.total > 0
         for batch in batches:
             for rows, words, sizes, seen in _chunks(batch):
                 starts = np.cumsum(sizes) - sizes
-                levels, numbers = _look(last.value, model, hashes, words, sizes, seen)
+                levels, numbers = _look(last.value, model, words, sizes, seen)
                 levels = levels.astype(np.int64)
                 context = np.concatenate((levels[1][:1], levels[1][:-1]))
                 context[starts] = levels[1][starts + sizes - 1]  # the end's own level

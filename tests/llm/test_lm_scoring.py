@@ -125,3 +125,21 @@ def test_end_is_numbered_whatever_its_rank(spark):
     assert sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows) >= 2
     got = compare(spark.createDataFrame(rows, "doc_id long, text string"), rows, words=1)
     assert all(g[3] == g[2] for g in got)
+
+
+def test_numbered_words_bring_their_hashes():
+    """Scoring keeps no table of the words it met: numbered ones have their hash by number, the others are hashed."""
+    words = [b"b", b"zz", b"a", b" ", b"a"]
+    model = op.Model({b"a": 0, b"b": 1, b" ": 2}, np.array([5, 4, 3, 9]), 21, 9, None, [])
+    asked = []
+
+    class Part:
+        def levels(self, keys):
+            asked.append(keys)
+            return np.zeros(len(keys), np.uint8)
+
+    levels, numbers = op._look(Part(), model, words, np.array([4, 1]), None)
+    plain = np.array([op.xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    end = plain[3]
+    assert numbers.tolist() == [1, 3, 0, 2, 0]
+    assert (asked[0] == op.pair_keys(np.array([end, plain[0], plain[1], plain[2], end]), plain)).all() and (asked[1] == plain[1:2]).all()
