@@ -61,3 +61,14 @@ def test_only_chosen_features_reach_the_driver(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{'abcdefgh'[i % 8]} common shared {'bad' if i % 3 == 0 else 'good'}") for i in range(40)], "doc_id long, text string")
     op.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic"))
     assert written == [("features", 5)]
+
+
+def test_features_stay_out_of_the_driver(spark, monkeypatch):
+    """The driver gets the row ids and the weights; the lists of rows a feature has are read by the task that fits."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: seen.append(self.columns) or collect(self))
+    docs = spark.createDataFrame([(i, f"common {'bad' if i % 3 == 0 else 'good'} word") for i in range(60)], "doc_id long, text string")
+    model = op.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic"))
+    assert model.weights and all("rows" not in columns for columns in seen)
