@@ -80,3 +80,28 @@ def test_rows_of_one_id_are_decided_alone(spark):
         [(3, one), (7, two), (None, "only here without any id at all"), (8, "")], key=str
     )
     assert op.keep_first(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_members_far_apart_in_a_family_do_not_meet_as_all_pairs(spark, monkeypatch):
+    """Copies with many edits share most shingles with their family but are similar to none of it."""
+    rng, words, tried, possible = random.Random(8), [f"w{i}" for i in range(5000)], [], op._possible
+    base, rows = rng.choices(words, k=150), []
+    for i in range(600):
+        text = list(base)
+        for at in rng.sample(range(150), i % 10):
+            text[at] = f"edit{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    rows.append((600, " ".join(base[:120])))  # shorter: joins the family by its size
+    monkeypatch.setattr(op, "_possible", lambda pairs, *rest: tried.append(pairs.count()) or possible(pairs, *rest))
+    roots, ordered = brute(rows)
+    assert 100 < len(roots) < 500
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == sorted(ordered[i] for i in roots)
+    assert sum(tried) < 10 * len(rows), tried
+
+
+def test_pairs_of_unequal_sizes_and_of_three_texts_are_all_compared(spark):
+    """Each text is a prefix of the next: similar by 0.8 to some that are longer or shorter by up to a quarter."""
+    words = [f"n{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([60, 74, 75, 92, 93, 118, 140, 141, 200, 249, 250, 251, 320, 400, 9, 10, 4])]
+    roots, ordered = brute(rows)
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(ordered[i] for i in roots)
