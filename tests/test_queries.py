@@ -52,3 +52,11 @@ def test_sentiment_meets_the_bars_without_a_shuffle(spark):
     """The news of a day is one broadcast row; only lines, bars' days and articles are dealt out."""
     plan = entry.queries()["c04_join_sentiment"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and not any("Exchange hashpartitioning" in line and "entity" in line for line in plan.splitlines())
+
+
+def test_daily_features_pass_over_the_rows_twice(spark):
+    """One window pass for the lags, one for the frames over them; no frame computes the same deviation twice."""
+    plan = entry.queries()["l04_daily_features_v1"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Window [")]
+    assert len(windows) == 2
+    assert sum(line.count("stddev_samp(return_1d") for line in windows) == 3
