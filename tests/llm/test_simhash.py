@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelmill.llm import op10_simhash as op
 
@@ -92,3 +93,9 @@ def test_keep_first_decides_each_text_of_an_id(spark):
     kept = op.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["3", "7", "8", "None"]
     assert {r.text for r in kept if r.doc_id in (3, 7)} == {text, alone}
+
+
+def test_variants_of_half_words_are_never_broadcast(spark):
+    """66 variants a fingerprint, which Spark's sizes do not show: as many as fit the limit by its estimate fill the driver."""
+    plan = op.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan, plan
