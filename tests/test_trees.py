@@ -204,3 +204,25 @@ def test_rows_of_a_key_stay_together():
         groups = list(trees._groups(iter(batches), "k", most))
         assert [t["k"].to_pylist() for g in groups for t in g] == [["a"] * 5, [None] * 3, ["b"] * 4, ["c"]]
         assert all(len(g) <= most for g in groups) and [v for g in groups for t in g for v in t["v"].to_pylist()] == list(range(13))
+
+
+@pytest.mark.parametrize("cells, lines", [(1, 10**9), (200, 0), (1 << 20, 0)])
+def test_histograms_in_blocks_give_the_same_trees(monkeypatch, cells, lines):
+    """How many cells are worked on at a time and how they are added up changes no bit of a model; descent equals a walk from node to node."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 5)).round(1)
+    y = (x[:, 0] + x[:, 3] > rng.normal(size=300)).astype(float)
+    parts = [(x[i::4], y[i::4], x[:50], y[:50]) for i in range(3)]
+    kinds = [(trees.boost_many, replace(trees.BOOSTED, trees=20)), (trees.boost_many, replace(trees.HIST_BOOSTED, trees=20, least=3)), (trees.forest_many, replace(trees.FOREST, trees=60))]
+    before = [fit(parts, s) for fit, s in kinds]
+    monkeypatch.setattr(trees, "CELLS", cells)
+    monkeypatch.setattr(trees, "LINES", lines)
+    assert [fit(parts, s) for fit, s in kinds] == before
+    for m in (kind[0] for kind in before):
+        for row, p in zip(x[:20], trees.predict(m, x[:20]), strict=True):
+            total = []
+            for node in m["roots"]:
+                while m["feature"][node] >= 0:
+                    node = m["child"][node] + int(row[m["feature"][node]] > m["at"][node])
+                total.append(m["at"][node])
+            assert p == pytest.approx(sum(total), abs=1e-12)
